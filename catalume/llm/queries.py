@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, warc
+from . import bpe, media, mixing, quality, sharding, warc
 from .common import documents
 
 #: The tokenizer that op3 encodes with; the file is read by the driver and sent to the executors.
@@ -19,8 +19,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": lambda s, d: bpe.op3_bpe(s, documents(s, d), VOCABULARY),
+    "op4_mixing": lambda s, d: mixing.op4_mixing(s, documents(s, d)),
+    "op5_quality": lambda s, d: quality.op5_quality(s, documents(s, d)),
     "op8_media": lambda s, d: media.op8_media(s, documents(s, d)),
     "op9_warc": lambda s, d: warc.op9_warc(s, pages(s, d)),
+    "op10_sharding": lambda s, d: sharding.op10_sharding(s, documents(s, d)),
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_warc": warc.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op5_quality": quality.OP5_SQL, "op9_warc": warc.OP9_SQL}
