@@ -20,12 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Fixed value: the split pattern of byte-level BPE, which the vocabulary was made with.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters after which a long text is cut at the next certain place.
 PIECE = 1 << 16
-#: Fragments that a worker remembers; beyond it the memo starts anew.
-MEMO = 200_000
+#: Words that a worker remembers; beyond it the memo starts anew.
+MEMO = 300_000
+#: Bytes up to which a fragment is merged by plain search, and what stands for a pair without a merge.
+SHORT, NEVER = 40, (1 << 40, -1)
 
 
 def printable_bytes() -> dict[str, int]:
@@ -35,30 +39,40 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def vocabulary_tables(raw: bytes) -> dict:
+    """The tables that encoding and decoding need, from a vocabulary file (the JSON of a byte-level BPE tokenizer), in plain types."""
+    spec = json.loads(raw)
+    code = printable_bytes()
+    as_bytes = lambda token: bytes(code[c] for c in token)
+    ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
+    special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
+    tokens: list[bytes | None] = [None] * (1 + max([*ids.values(), *special.values()]))
+    for t, i in ids.items():
+        tokens[i] = t
+    for s, i in special.items():
+        tokens[i] = s.encode()
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+    merges = {}
+    for rank, (a, b) in enumerate(pairs):
+        x, y = as_bytes(a), as_bytes(b)
+        merges[ids[x] << 32 | ids[y]] = (rank, ids[x + y])
+    joins: list[set[int]] = [set() for _ in range(256)]  # for each byte, those that follow it inside some token
+    for t in ids:
+        for a, b in zip(t, t[1:]):
+            joins[a].add(b)
+    return {"tokens": tokens, "special": special, "merges": merges, "joins": joins, "bytes": [ids.get(bytes([b])) for b in range(256)], "memo": {}}
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary file (the JSON of a byte-level BPE tokenizer, as bytes)."""
-
-    def __init__(self, raw: bytes):
-        spec = json.loads(raw)
-        code = printable_bytes()
-        ids = {bytes(code[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-        self.tokens = {i: t for t, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.byte_ids = [ids.get(bytes([b])) for b in range(256)]
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = (bytes(code[c] for c in t) for t in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        self.inside = np.zeros((256, 256), bool)
-        for t in ids:
-            for a, b in zip(t, t[1:]):
-                self.inside[a, b] = True
-        self.joins = [frozenset(np.flatnonzero(row).tolist()) for row in self.inside]
-        self.cut_after = frozenset(np.flatnonzero(~self.inside[:, [32, 10]].any(axis=1)).tolist())
+    """Encoder and decoder over the tables of a vocabulary. Encoded words are remembered in ``tables["memo"]``."""
+
+    def __init__(self, tables: dict):
+        self.tokens, self.special, self.merges, self.joins, self.byte_ids = (tables[k] for k in ("tokens", "special", "merges", "joins", "bytes"))
+        self.memo = tables["memo"]
         self.pattern = regex.compile(PRE_TOKEN)
         self.cut = regex.compile(r"(?<=\S)(?=[ \n])")
+        self.cut_after = frozenset(b for b in range(256) if not self.joins[b] & {32, 10})
         self.around_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
 
     def fragments(self, piece: bytes) -> Iterator[bytes]:
         """The piece, cut between all bytes that no token holds side by side."""
@@ -72,29 +86,42 @@ class Codec:
     def merge(self, fragment: bytes) -> list[int]:
         """Merges of one fragment, lowest rank first and leftmost among equals."""
         ids = [self.byte_ids[b] for b in fragment]
-        if len(ids) < 2:
-            return ids
-        after = [*range(1, len(ids)), -1]
-        before = [*range(-1, len(ids) - 1)]
-        heap = [(self.merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
+        if len(ids) > SHORT:
+            return self.merge_long(ids)
+        find = self.merges.get
+        while len(ids) > 1:
+            found = [find(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+            best = min(found)
+            if best is NEVER:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of merges and a linked list of ids, for fragments of any length."""
+        merges, after, before = self.merges, [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+        heap = [(merges[p][0], i, p) for i, p in enumerate(a << 32 | b for a, b in zip(ids, ids[1:])) if p in merges]
         heapq.heapify(heap)
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i]
-            if j < 0 or (ids[i], ids[j]) != pair:
+            if j < 0 or ids[i] < 0 or ids[i] << 32 | ids[j] != pair:
                 continue
-            ids[i], ids[j] = self.merges[pair][1], -1
+            ids[i], ids[j] = merges[pair][1], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in self.merges:
-                    heapq.heappush(heap, (self.merges[p][0], a, p))
+                if a >= 0 and b >= 0 and (p := ids[a] << 32 | ids[b]) in merges:
+                    heapq.heappush(heap, (merges[p][0], a, p))
         return [x for x in ids if x >= 0]
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        if (found := self.memo.get(word)) is None:
-            found = tuple(x for f in self.fragments(word.encode("utf-8", "surrogatepass")) for x in self.merge(f))
+    def encode_word(self, word: str) -> bytes:
+        found = self.memo.get(word)
+        if found is None:
+            ids = [x for f in self.fragments(word.encode("utf-8", "surrogatepass")) for x in self.merge(f)]
+            found = np.array(ids, "<u4").tobytes()
             if len(word) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -102,9 +129,8 @@ class Codec:
         return found
 
     def pieces(self, text: str) -> Iterator[str]:
-        """The text in pieces of about PIECE characters, each cut before white space that follows other characters."""
-        start = 0
-        at = PIECE
+        """The text in pieces of about PIECE characters, each cut before white space that follows other characters, where no token joins them."""
+        start, at = 0, PIECE
         while len(text) - start > 2 * PIECE and (m := self.cut.search(text, at)):
             at = m.start()
             if text[at - 1 : at].encode("utf-8", "surrogatepass")[-1] in self.cut_after:
@@ -114,34 +140,35 @@ class Codec:
                 at += 1
         yield text[start:] if start else text
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         parts = []
         for section in self.around_special.split(text) if self.around_special else [text]:
             if section in self.special:
-                parts.append(np.array([self.special[section]], "<u4"))
+                parts.append(np.array([self.special[section]], "<u4").tobytes())
                 continue
             for piece in self.pieces(section):
-                word = self.encode_word
-                parts.append(np.fromiter((x for w in self.pattern.findall(piece) for x in word(w)), "<u4"))
-        return np.concatenate(parts)
+                parts += map(self.encode_word, self.pattern.findall(piece))
+        return b"".join(parts)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 def _codec_udfs(spark: SparkSession, vocabulary: str):
+    small_batches(spark)
     with open(vocabulary, "rb") as f:
-        raw = spark.sparkContext.broadcast(f.read())  # one vocabulary file: its size does not follow the data
+        tables = spark.sparkContext.broadcast(vocabulary_tables(f.read()))  # one vocabulary: its size does not follow the data
 
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(raw.value)
+        codec = Codec(tables.value)
         for s in texts:
-            yield pd.Series([codec.encode(t or "").tobytes() for t in s])
+            yield pd.Series([codec.encode(t or "") for t in s])
 
     def decode(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(raw.value)
+        codec = Codec(tables.value)
         for s in packed:
-            yield pd.Series([None if b is None else codec.decode(np.frombuffer(b, "<u4")) for b in s])
+            yield pd.Series([None if b is None else codec.decode(b) for b in s])
 
     # not deterministic: keeps the optimizer from encoding a text once for each use of its ids
     return F.pandas_udf(encode, T.BinaryType()).asNondeterministic(), F.pandas_udf(decode, T.StringType()).asNondeterministic()
