@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bytes that a payload's length is a multiple of, and the byte that fills it up.
 UNIT, FILL = 576, 255
 #: Samples of a frame and between frames; both divide UNIT.
@@ -106,16 +108,19 @@ def _fingerprints(payloads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def write_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """``df`` with each text's UTF-8 bytes, filled up to a positive multiple of UNIT, as WAV bytes in ``media``. A null text counts as empty; other columns stay, one named as ``media`` is replaced."""
+    small_batches(df.sparkSession)
     return df.withColumn(media, F.pandas_udf(_write, "binary").asNondeterministic()(F.col(f"`{text}`")))
 
 
 def read_media(df: DataFrame, media: str = "media", payload: str = "payload") -> DataFrame:
     """``df`` with the samples of its WAV bytes in ``payload``; null stays null."""
+    small_batches(df.sparkSession)
     return df.withColumn(payload, F.pandas_udf(_read, "binary").asNondeterministic()(F.col(f"`{media}`")))
 
 
 def fingerprint_media(df: DataFrame, payload: str = "payload", fingerprint: str = "fingerprint") -> DataFrame:
     """``df`` with the peak pairs of its payloads: a struct of the equally long arrays ``times`` and ``codes``, empty for null, empty or silent payloads."""
+    small_batches(df.sparkSession)
     return df.withColumn(fingerprint, F.pandas_udf(_fingerprints, "times array<int>, codes array<int>").asNondeterministic()(F.col(f"`{payload}`")))
 
 
