@@ -11,8 +11,8 @@ from .common import SPACES, space_words
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: A document is kept if its good lines hold at least this share of its words.
 KEEP = 0.5
-#: What ends a sentence, separators of navigation bars, symbols, and phrases of boilerplate lines (lower case).
-ENDS = r"[.!?:;…。！？][\"'”’»)\]]*[ \t-\r]*$"
+#: The end of a sentence, separators of navigation bars, symbols, and phrases of boilerplate lines (lower case).
+ENDS = r"[.!?:;…。！？][\"'”’»)\]]*([ \t-\r]|$)"
 BARS = "[|»›•·]"
 SYMBOLS = "[#*$%&|<>]"
 BOILERPLATE = (
@@ -24,7 +24,7 @@ MOST_SYMBOLS, MOST_BARS, MOST_CAPITALS = 5, 2, 60
 
 
 def good_line(line: Column) -> Column:
-    """Whether a line passes: it ends as a sentence does (punctuation), has few bars (navigation), few symbols and capitals and no stock phrase (boilerplate)."""
+    """Whether a line passes: a sentence ends in it (punctuation), has few bars (navigation), few symbols and capitals and no stock phrase (boilerplate)."""
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
     return (
