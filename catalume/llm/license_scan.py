@@ -51,7 +51,7 @@ def templates(spark: SparkSession, phrases: dict[str, str], texts: dict[str, str
     df = spark.createDataFrame(rows, "label string, phrase boolean, k int, text string")
     df = df.select("*", license_words(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     df = df.select("*", F.when(F.col("phrase"), _grams("hashes", PHRASE_GRAM)).otherwise(_grams("hashes", TEXT_GRAM)).alias("g"))
-    df = df.select("label", "phrase", "k", "words", F.size("g").alias("grams"), F.posexplode("g").alias("place", "__gram"))
+    df = df.select("label", "phrase", "k", "words", F.size("g").alias("grams"), F.posexplode_outer("g").alias("place", "__gram"))
     return df.select("__gram", F.array_join(F.slice("words", F.col("place") + 1, F.col("k")), " ").alias("__of"), F.concat_ws(":", "phrase", "label").alias("template"), "label", "phrase", "place", "grams")
 
 
@@ -59,7 +59,8 @@ def find_hits(docs: DataFrame, phrases: dict[str, str], texts: dict[str, str]) -
     """The k-grams of ``docs`` (doc_id, text) that stand in a template, and a row without template for each document: doc_id, text_key, n_words, template, ..., diagonal."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), license_words(F.col("text")).alias("__words")).withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
     rows = rows.select("*", F.greatest(F.size("__words") - PHRASE_GRAM + 1, F.lit(0)).alias("__short"), F.concat(F.array(F.lit(None).cast("long")), _grams("__hashes", PHRASE_GRAM), _grams("__hashes", TEXT_GRAM)).alias("__all"))
-    rows = rows.select("doc_id", "text_key", "__words", "__short", F.posexplode("__all").alias("__pos", "__hash"))
+    # outer: the optimizer puts no filter on the array's size below, which would make the array anew for each element
+    rows = rows.select("doc_id", "text_key", "__words", "__short", F.posexplode_outer("__all").alias("__pos", "__hash"))
     short = F.col("__pos") <= F.col("__short")
     at = F.when(short, F.col("__pos") - 1).otherwise(F.col("__pos") - 1 - F.col("__short"))
     words = F.array_join(F.slice("__words", at + 1, F.when(short, PHRASE_GRAM).otherwise(TEXT_GRAM)), " ")

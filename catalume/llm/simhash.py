@@ -72,7 +72,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     met = tables.join(crowded, ["table", "bucket"]).groupBy("fingerprint").agg(F.bit_or(F.bitwise_not("mask")).alias("free"))
     flips = F.array(*(F.lit(signed(1 << b)).cast("long") for b in range(BITS)))
     names = F.concat(F.array("fingerprint"), F.transform(F.filter(flips, lambda b: F.col("free").bitwiseAND(b) != 0), lambda b: F.col("fingerprint").bitwiseXOR(b)))
-    named = met.select("fingerprint", F.explode(names).alias("name")).groupBy("name").agg(F.min("fingerprint").alias("v"), F.collect_list("fingerprint").alias("us")).where(F.size("us") > 1)
+    named = met.select("fingerprint", F.explode_outer(names).alias("name")).groupBy("name").agg(F.min("fingerprint").alias("v"), F.collect_list("fingerprint").alias("us")).where(F.size("us") > 1)
     return named.select("v", F.explode("us").alias("u")).where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v").distinct()
 
 

@@ -58,7 +58,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, chunk_bytes: int
     """Writes a WARC record for each page into gzip archives under ``path``. Columns other than page_id, url and html are not archived."""
     planned = plan_records(pages, least)
     rows = planned.withColumn("__id", F.uuid()).select(
-        "*", F.posexplode(F.when(F.col("refers_to").isNull(), segments(F.col("html"), chunk_bytes)).otherwise(F.array(F.lit(b"")))).alias("__no", "__data"), F.when(F.col("refers_to").isNull(), F.size(segments(F.col("html"), chunk_bytes))).otherwise(1).alias("__of")
+        "*", F.posexplode_outer(F.when(F.col("refers_to").isNull(), segments(F.col("html"), chunk_bytes)).otherwise(F.array(F.lit(b"")))).alias("__no", "__data"), F.when(F.col("refers_to").isNull(), F.size(segments(F.col("html"), chunk_bytes))).otherwise(1).alias("__of")
     )
     name = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     line = lambda key, value: F.coalesce(F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))  # noqa: E731  a null value leaves the line out
