@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, media, mixing, quality, sharding, simhash, warc
+from . import bpe, langid, license_scan, media, mixing, quality, sharding, simhash, warc
 from .common import documents
 
 #: The tokenizer that op3 encodes with; the file is read by the driver and sent to the executors.
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": lambda s, d: mixing.op4_mixing(s, documents(s, d)),
     "op5_quality": lambda s, d: quality.op5_quality(s, documents(s, d)),
     "op6_simhash": lambda s, d: simhash.op6_simhash(s, documents(s, d)),
+    "op7_langid": lambda s, d: langid.op7_langid(s, documents(s, d)),
     "op8_media": lambda s, d: media.op8_media(s, documents(s, d)),
     "op9_warc": lambda s, d: warc.op9_warc(s, pages(s, d)),
     "op10_sharding": lambda s, d: sharding.op10_sharding(s, documents(s, d)),
