@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ PIECE = 1 << 16
 #: Words that a worker remembers; beyond it the memo starts anew.
 MEMO = 300_000
 #: Bytes up to which a fragment is merged by plain search, and what stands for a pair without a merge.
-SHORT, NEVER = 40, (1 << 40, -1)
+SHORT, NEVER = 40, 1 << 60
+#: A merge is its rank, times 2 ** 32, and the id that it makes.
+ID = (1 << 32) - 1
 
 
 def printable_bytes() -> dict[str, int]:
@@ -55,7 +58,7 @@ def vocabulary_tables(raw: bytes) -> dict:
     merges = {}
     for rank, (a, b) in enumerate(pairs):
         x, y = as_bytes(a), as_bytes(b)
-        merges[ids[x] << 32 | ids[y]] = (rank, ids[x + y])
+        merges[ids[x] << 32 | ids[y]] = rank << 32 | ids[x + y]
     joins: list[set[int]] = [set() for _ in range(256)]  # for each byte, those that follow it inside some token
     for t in ids:
         for a, b in zip(t, t[1:]):
@@ -89,39 +92,41 @@ class Codec:
         if len(ids) > SHORT:
             return self.merge_long(ids)
         find = self.merges.get
-        while len(ids) > 1:
-            found = [find(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
-            best = min(found)
-            if best is NEVER:
-                break
+        found = [find(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != NEVER:
             i = found.index(best)
-            ids[i : i + 2] = [best[1]]
+            ids[i : i + 2] = [best & ID]
+            del found[i]
+            if i < len(found):
+                found[i] = find(ids[i] << 32 | ids[i + 1], NEVER)
+            if i:
+                found[i - 1] = find(ids[i - 1] << 32 | ids[i], NEVER)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of merges and a linked list of ids, for fragments of any length."""
         merges, after, before = self.merges, [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        heap = [(merges[p][0], i, p) for i, p in enumerate(a << 32 | b for a, b in zip(ids, ids[1:])) if p in merges]
+        heap = [(merges[p], i, p) for i, p in enumerate(a << 32 | b for a, b in zip(ids, ids[1:])) if p in merges]
         heapq.heapify(heap)
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i]
             if j < 0 or ids[i] < 0 or ids[i] << 32 | ids[j] != pair:
                 continue
-            ids[i], ids[j] = merges[pair][1], -1
+            ids[i], ids[j] = merges[pair] & ID, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b >= 0 and (p := ids[a] << 32 | ids[b]) in merges:
-                    heapq.heappush(heap, (merges[p][0], a, p))
+                    heapq.heappush(heap, (merges[p], a, p))
         return [x for x in ids if x >= 0]
 
     def encode_word(self, word: str) -> bytes:
         found = self.memo.get(word)
         if found is None:
             ids = [x for f in self.fragments(word.encode("utf-8", "surrogatepass")) for x in self.merge(f)]
-            found = np.array(ids, "<u4").tobytes()
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
