@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, license_scan, media, mixing, quality, sharding, simhash, warc
+from . import bpe, langid, license_scan, media, mixing, pii, quality, sharding, simhash, warc
 from .common import documents
 
 #: The tokenizer that op3 encodes with; the file is read by the driver and sent to the executors.
@@ -18,6 +18,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": lambda s, d: pii.op1_pii(s, documents(s, d)),
     "op2_licenses": lambda s, d: license_scan.op2_licenses(s, documents(s, d)),
     "op3_bpe": lambda s, d: bpe.op3_bpe(s, documents(s, d), VOCABULARY),
     "op4_mixing": lambda s, d: mixing.op4_mixing(s, documents(s, d)),
