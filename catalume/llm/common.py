@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,20 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def pack(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``df`` as the struct `row`, and columns of its own beside it: names that operators use inside can't meet names of the data."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(k) for k, c in more.items()))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once for a row, however often and in whatever lambda ``body`` uses it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,16 +8,16 @@ sent to the executors.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pack, small_batches
 
 #: The sample: documents a language, lines a document (both chosen by hash) and words a line at most.
 SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_WORDS = 250, 4, 60
@@ -28,7 +28,7 @@ CHAIN = 6
 #: Words of a block in the vectorised forward-backward, words that are scored at once, and words a worker remembers.
 BLOCK, BATCH, MEMO = 32, 200_000, 200_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def word_features(word: str) -> list[str]:
@@ -242,8 +242,8 @@ def label_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFra
             yield pd.DataFrame({"lang_pred": [labels[b] if k else UNKNOWN for b, k in zip(best, known)], "score": np.where(known, np.clip(share, 0, 1), 0.0)})
 
     udf = F.pandas_udf(label, "lang_pred string, score double").asNondeterministic()
-    out = docs.withColumn("__label", udf(F.col(f"`{text}`")))
-    return out.select(*(c for c in docs.columns if c not in ("lang_pred", "score")), "__label.lang_pred", "__label.score")
+    out = pack(docs, label=udf(F.col(f"`{text}`")))
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")), "label.lang_pred", "label.score")
 
 
 def op7_langid(spark: SparkSession, docs: DataFrame) -> DataFrame:

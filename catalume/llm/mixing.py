@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize
+from .common import SPACES, materialize, pack
 
 #: Weights and slopes that the sources have in turn, in order of their names: a slope of 0.5 lets a source's demand rise from 0.5 to 1.5 times its mean.
 WEIGHTS = (3, 1, 2)
@@ -82,7 +82,7 @@ def curriculum(sized: DataFrame, share: float = SHARE, repeats: int = REPEATS) -
 
 
 def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """The training sequence of ``docs`` (doc_id, text, source and others): its rows with ``position``, one for each time that a document is taken, range-sorted by it.
+    """The training sequence of ``docs`` (doc_id, text, source and others): its rows with ``position`` (which replaces a column of that name), one for each time that a document is taken, range-sorted by it.
 
     Rows that repeat doc_id, source and text are told apart by number, so that each has its own places.
     """
@@ -92,10 +92,10 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS) -> DataFr
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("__key")), "sizes")
     placed = curriculum(sized, share, repeats).where(F.size("positions") > 0).select("__key", "positions")
     placed = materialize(placed.withColumn("__number", number), "positions")
-    rows = docs.withColumn("__key", key).withColumn("__row", number)
+    rows = pack(docs, __key=key).withColumn("__row", number)
     # the difference, and no equality, keeps the number out of the join's keys: both sides are already dealt by __key
     rows = rows.join(placed, "__key").where(F.col("__row") - F.col("__number") == 0)
-    rows = rows.select(*docs.columns, F.explode("positions").alias("position"))
+    rows = rows.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "position"), F.explode("positions").alias("position"))
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 

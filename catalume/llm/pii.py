@@ -8,10 +8,12 @@ its first letter; what lies below the disclosure threshold stays. Documents with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pack
 
 #: The kinds in order, and their patterns. Possessive groups and what stands before a run only keep Java's matcher from running long or deep; the matches are the same.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -27,8 +29,8 @@ CONTEXT, LETTERS, SUPPORT, GENERALISE, REMOVE = 80, 3, 2, 0.5, 0.8
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def found(text: Column, pattern: str) -> Column:
-    """The matches of a pattern, leftmost and non-overlapping, as structs of start, end (code points) and value: the pieces between matches and the matches add up to the positions."""
+def found(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
+    """The matches of a pattern whose value passes ``keep``, leftmost and non-overlapping, as structs of start, end (code points) and value: the pieces between matches and the matches add up to the positions."""
     steps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
     steps = F.filter(steps, lambda x: x["value"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -36,7 +38,8 @@ def found(text: Column, pattern: str) -> Column:
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + x["gap"]
         end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        more = F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        return F.struct(end.alias("at"), F.when(keep(x["value"]), more).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(steps, start, step, lambda a: a["out"])
 
@@ -68,7 +71,7 @@ def base_spans(text: Column) -> Column:
 
     def of_kind(rank: int, kind: str) -> Column:
         as_span = lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        spans = F.transform(F.filter(found(text, KINDS[kind]), lambda x: valid(kind, x["value"])), as_span)
+        spans = F.transform(found(text, KINDS[kind], lambda value: valid(kind, value)), as_span)
         may = F.instr(text, NEEDS[kind]) > 0 if kind in NEEDS else F.regexp_like(text, F.lit("[0-9]"))
         return F.when(may, spans).otherwise(F.array().cast(SPAN))
 
@@ -139,7 +142,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
     )
     spans = spans.select(F.col("key").alias("__key"), F.sort_array(every).alias("__spans"))
-    rows = docs.withColumn("__key", key).join(spans, "__key", "left")
+    rows = pack(docs, __key=key, text=F.col("text")).join(spans, "__key", "left")
 
     def cut(a: Column, s: Column) -> Column:
         piece = F.substr(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
@@ -149,8 +152,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate("__spans", start, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1)))
     rows = rows.withColumn("__clean", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text")))
-    kept = {"text": F.col("__clean"), "n_chars": F.coalesce(F.length("__clean").cast("long"), F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("__clean")}
-    return rows.select(*(kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns))
+    kept = {"text": F.col("__clean"), "n_chars": F.coalesce(F.length("__clean").cast("long"), F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("__clean")}
+    return rows.select(*(kept[c].alias(c) if c in kept else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op1_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:

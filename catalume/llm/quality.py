@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, space_words
+from .common import SPACES, let, pack, space_words
 
 #: Words of a window, and base limits: fewest words, largest share of repeated words in hundredths.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: A document is kept if its good lines hold at least this share of its words.
 KEEP = 0.5
 #: The end of a sentence, separators of navigation bars, symbols, and phrases of boilerplate lines (lower case).
-ENDS = r"[.!?:;…。！？][\"'”’»)\]]*([ \t-\r]|$)"
+ENDS = r"[.!?:;…。！？][\"'”’»)\]]*([ \t-\r]|\z)"
 BARS = "[|»›•·]"
 SYMBOLS = "[#*$%&|<>]"
 BOILERPLATE = (
@@ -40,26 +40,31 @@ def worded(lines: Column) -> Column:
     return F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^ \t-\r]")))
 
 
-def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the words that stand in windows of WINDOW words found twice or more in the array ``words``.
+def repeated_words(words: Column) -> Column:
+    """The number of words that stand in windows of WINDOW words found twice or more in an array of words.
 
     Windows are compared by 64-bit hashes of their words' hashes. Only documents that have two equal windows sort them;
     a sorted window equals its neighbour if it is found twice; then the union of the windows' ranges is summed up.
     """
-    df = df.withColumn("__hash", F.transform(words, lambda w: F.xxhash64(w)))
-    last = F.size("__hash") - WINDOW
-    at = lambda i: F.xxhash64(*(F.get("__hash", i + k) for k in range(WINDOW)))
-    df = df.withColumn("__windows", F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<long>")))
-    several = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = df.withColumn("__sorted", F.when(several, F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
-    same = lambda x, i: F.coalesce(F.get("__sorted", i)["h"] == x["h"], F.lit(False))
-    twice = F.filter("__sorted", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    more = lambda a, p: F.struct((a["n"] + WINDOW - F.greatest(F.lit(0), a["end"] - p)).alias("n"), (p + WINDOW).alias("end"))
-    covered = F.aggregate(starts, zero, more, lambda a: a["n"])
-    return df.withColumn(out, F.when(F.size("__sorted") == 0, 0).otherwise(covered).cast("long")).drop("__hash", "__windows", "__sorted")
+
+    def windows(hashes: Column) -> Column:
+        last = F.size(hashes) - WINDOW
+        at = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW)))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<long>"))
+
+    def covered(ordered: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(ordered, i)["h"] == x["h"], F.lit(False))
+        twice = F.filter(ordered, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+        more = lambda a, p: F.struct((a["n"] + WINDOW - F.greatest(F.lit(0), a["end"] - p)).alias("n"), (p + WINDOW).alias("end"))
+        return F.aggregate(starts, zero, more, lambda a: a["n"])
+
+    def count(found: Column) -> Column:
+        ordered = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(found)) < F.size(found), let(ordered, covered)).otherwise(0)
+
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count).cast("long")
 
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -69,21 +74,22 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     Lines are what stands between line feeds; empty lines neither pass nor fail. A text without words fails the base.
     Every row is judged on its own, repeated rows alike, without a shuffle. Columns of ``df`` with these names are replaced.
     """
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept", "clean_text")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = df.withColumn("__words", space_words(body)).withColumn("__lines", worded(F.split(body, "\n", -1)))
-    df = repeated_words(df, "__words", "n_repeat_words").withColumn("__good", F.filter("__lines", good_line))
     words_in = lambda x: F.regexp_count(x, F.lit(SPACES.replace("[", "[^")))
-    df = df.select(
-        *(c for c in df.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "lost_words", "base_failed", "kept", "clean_text")),
-        F.size("__words").cast("long").alias("n_words"),
-        F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
-        F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        (F.size("__words") - F.aggregate("__good", F.lit(0), lambda a, x: a + words_in(x))).cast("long").alias("lost_words"),
-    ).withColumn("clean_text", F.array_join("__good", "\n"))
-    df = df.drop("__words", "__lines", "__good")
-    df = df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("lost_words") >= KEEP * F.col("n_words")))
+    rows = pack(df, text=body, words=space_words(body), lines=worded(F.split(body, "\n", -1))).withColumn("good", F.filter("lines", good_line))
+    rows = rows.select(
+        *(F.col(f"row.`{c}`") for c in df.columns if c not in made),
+        F.size("words").cast("long").alias("n_words"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("words")).alias("n_repeat_words"),
+        (F.size("words") - F.aggregate("good", F.lit(0), lambda a, x: a + words_in(x))).cast("long").alias("lost_words"),
+        F.array_join("good", "\n").alias("clean_text"),
+    )
+    rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("lost_words") >= KEEP * F.col("n_words")))
 
 
 def op5_quality(spark: SparkSession, docs: DataFrame) -> DataFrame:

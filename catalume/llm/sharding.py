@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pack
 
 #: A key is three signed 64-bit integers, compared one after another.
 KEY = ("__k1", "__k2", "__k3")
@@ -132,14 +132,14 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float = 0.01, probes
 
 
 def shard_rows(df: DataFrame, key: tuple[Column, Column], size: Column, shards: int = 16, ranges: int = 16, tolerance: float = 0.02) -> DataFrame:
-    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (from 0 in each shard, without gaps, in the key's order).
+    """``df`` (columns of the same names are replaced) with ``shard`` (0 to ``shards`` - 1) and ``slot`` (from 0 in each shard, without gaps, in the key's order).
 
     ``key`` gives two long columns, nulls first; ``size`` a row's bytes (at least 0). Each shard consists of ``ranges``
     ranges of near equal bytes, each of which is sorted by one task. Rows with equal keys are told apart by a row number.
     All columns of ``df`` are written once to the shared folder and exchanged once. An empty table gives no rows.
     """
     low = F.lit(-SHIFT + 1).cast("long")
-    rows = df.select("*", F.coalesce(key[0], low).alias(KEY[0]), F.coalesce(key[1], low).alias(KEY[1]), F.monotonically_increasing_id().alias(KEY[2]), size.cast("long").alias("__size"))
+    rows = pack(df, **dict(zip(KEY, (F.coalesce(key[0], low), F.coalesce(key[1], low), F.monotonically_increasing_id()))), __size=size.cast("long"))
     rows = materialize(rows, "shards")
     parts = shards * ranges
     keys, below = find_splitters(rows, parts, tolerance)
@@ -154,7 +154,7 @@ def shard_rows(df: DataFrame, key: tuple[Column, Column], size: Column, shards:
     placed = rows.withColumn("__range", F.pandas_udf(place, "int")(*KEY))
     order = Window.partitionBy("__range").orderBy(*KEY)
     slot = F.element_at(offsets, F.col("__range") + 1) + F.row_number().over(order) - 1
-    return placed.select(*df.columns, F.floor(F.col("__range") / ranges).cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return placed.select(*(F.col(f"row.`{c}`") for c in df.columns if c not in ("shard", "slot")), F.floor(F.col("__range") / ranges).cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, pack, small_batches
 from .graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -98,10 +98,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     printed = near_groups(docs.select("doc_id", "text"))
-    heads = printed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.first("doc_id").alias("__head"))
-    rows = docs.join(heads.select("__head"), F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(text))
-    return rows.withColumn("__number", number).where("__number = 1").select(*docs.columns)
+    heads = printed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.first("doc_id").alias("head")).select("head")
+    rows = pack(docs, doc_id=F.col("doc_id"), text_key=text).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text_key"))
+    return rows.withColumn("number", number).where("number = 1").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ from .common import new_path
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
-#: What begins each record after the first of a file: the blank lines that end the record before, and the version line.
-BETWEEN = CRLF * 2 + VERSION + CRLF
+#: The line that begins each record. No part of it but the whole both begins and ends it, so that a reader that looks for it byte by byte cannot miss one.
+BEGIN = VERSION + CRLF
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads shorter than this are never revisits.
@@ -69,7 +69,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, chunk_bytes: int
         line("WARC-Type", F.when(revisit, F.lit("revisit")).when(first, F.lit("response")).otherwise(F.lit("continuation"))),
         line("WARC-Record-ID", name(F.when(first, F.col("__id")).otherwise(F.uuid()))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]+", "%20")),
+        line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", r"[\x00-\x20]+", "%20"), r"(?<=WARC/1)\.(?=1$)", "%2E")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Segment-Number", F.when(F.col("__of") > 1, F.col("__no") + 1)),
@@ -89,8 +89,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     A record whose block is shorter than its Content-Length is an error.
     """
-    raw = spark.read.option("lineSep", BETWEEN).text(path)
-    head = F.concat(F.lit(CRLF), F.regexp_replace(F.substring_index("value", CRLF * 2, 1), f"^{VERSION}{CRLF}", ""), F.lit(CRLF))
+    raw = spark.read.option("lineSep", BEGIN).text(path).where("value <> ''")
+    head = F.concat(F.lit(CRLF), F.substring_index("value", CRLF * 2, 1), F.lit(CRLF))
     rows = raw.select(F.col("value").cast("binary").alias("__raw"), F.octet_length(F.substring_index("value", CRLF * 2, 1)).alias("__at"), head.alias("__head"))
     field = lambda key: F.nullif(F.regexp_extract("__head", rf"\r\n{key}: ([^\r]*)\r\n", 1), F.lit(""))
     rows = rows.select("__raw", "__at", *(field(k).alias(a) for k, a in {"WARC-Type": "__type", "WARC-Record-ID": "__own", "WARC-Segment-Origin-ID": "__origin", "WARC-Segment-Number": "__no", "X-Payload-Length": "declared_bytes", "X-Page-ID": "page_id", "X-Refers-To-Page": "refers_to", "WARC-Payload-Digest": "declared_digest", "Content-Length": "__length"}.items()))
