@@ -8,12 +8,12 @@ sent to the executors.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,12 @@ CHAIN = 6
 #: Words of a block in the vectorised forward-backward, words that are scored at once, and words a worker remembers.
 BLOCK, BATCH, MEMO = 32, 200_000, 200_000
 UNKNOWN = "und"
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased words; numerals that the pattern takes for a word (such as a half) are none."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def word_features(word: str) -> list[str]:
@@ -39,8 +44,8 @@ def word_features(word: str) -> list[str]:
     return [*out, f"={word}"]
 
 
-def forward_backward(emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors (words x labels) of chains that stand one after another in ``emission`` (log scores), and of neighbours (words x labels before x labels here; of no use where a chain starts). ``starts`` marks the first word of each.
+def forward_backward(emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, initial: np.ndarray, neighbours: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Posteriors (words x labels) of chains that stand one after another in ``emission`` (log scores), and of neighbours (words x labels before x labels here; of no use where a chain starts; only if ``neighbours``). ``starts`` marks the first word of each.
 
     The steps' matrices are multiplied in blocks of BLOCK words, all blocks at once; a scan over the blocks' products
     gives what enters each block from the left and right; then each block is filled in. A chain's first word has a
@@ -79,6 +84,8 @@ def forward_backward(emission: np.ndarray, starts: np.ndarray, transition: np.nd
         backward[:, i] = right
         right = scaled(np.einsum("bij,bj->bi", step[:, i], right), 1)
     forward, backward, step = (x.reshape(-1, *x.shape[2:])[:n] for x in (forward, backward, step))
+    if not neighbours:
+        return scaled(forward * backward, 1), None
     pairs = np.concatenate([np.ones((1, k)), forward[:-1]])[:, :, None] * step * backward[:, None, :]
     return scaled(forward * backward, 1), scaled(pairs, (1, 2))
 
@@ -92,12 +99,9 @@ class Model:
 
 def _feature_matrix(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Word and feature numbers of all features that the words have."""
-    rows, columns = [], []
-    for i, w in enumerate(words):
-        found = [index[f] for f in word_features(w) if f in index]
-        rows += [i] * len(found)
-        columns += found
-    return np.array(rows, np.int64), np.array(columns, np.int64)
+    get = index.get
+    found = [[c for f in word_features(w) if (c := get(f)) is not None] for w in words]
+    return np.repeat(np.arange(len(words)), [*map(len, found)]), np.array([c for row in found for c in row], np.int64)
 
 
 def fit(lines: list[tuple[str, str]]) -> dict:
@@ -106,7 +110,7 @@ def fit(lines: list[tuple[str, str]]) -> dict:
     words: dict[str, int] = {}
     tokens, gold, starts = [], [], []
     for i, (text, lang) in enumerate(lines):
-        found = WORD.findall(text.lower())[:SAMPLE_WORDS]
+        found = words_of(text)[:SAMPLE_WORDS]
         starts += [i % CHAIN == 0 and j == 0 for j in range(len(found))]
         tokens += [words.setdefault(w, len(words)) for w in found]
         gold += [labels.index(lang)] * len(found)
@@ -156,26 +160,26 @@ class Labeller:
         self.table = model.setdefault("table", np.zeros((MEMO, max(1, len(model["labels"])))))
 
     def scores(self, words: list[str]) -> np.ndarray:
-        memo, index, weights = self.memo, self.model["index"], self.model["weights"]
-        if len(memo) + len(words) > MEMO and (new := len(set(words) - memo.keys())) and len(memo) + new > MEMO:
+        memo = self.memo
+        fresh = [*dict.fromkeys(w for w in words if w not in memo)]
+        if len(memo) + len(fresh) > MEMO:
             memo.clear()
-            if new > MEMO:  # more new words than are remembered: score them in two halves
+            fresh = [*dict.fromkeys(words)]
+            if len(fresh) > MEMO:  # more new words than are remembered: score them in two halves
                 half = len(words) // 2
                 return np.concatenate([self.scores(words[:half]), self.scores(words[half:])])
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            at = memo.get(w)
-            if at is None:
-                at = memo[w] = len(memo)
-                self.table[at] = weights[[index[f] for f in word_features(w) if f in index]].sum(axis=0)
-            out[i] = at
-        return self.table[out]
+        if fresh:
+            start, (rows, columns) = len(memo), _feature_matrix(fresh, self.model["index"])
+            for label, weights in enumerate(self.model["weights"].T):
+                self.table[start : start + len(fresh), label] = np.bincount(rows, weights[columns], len(fresh))
+            memo.update(zip(fresh, range(start, start + len(fresh))))
+        return self.table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
 
     def posteriors(self, chains: list[list[str]]) -> np.ndarray:
         words = [w for c in chains for w in c]
         starts = np.zeros(len(words), bool)
         starts[np.cumsum([0, *map(len, chains)])[:-1]] = True
-        return forward_backward(self.scores(words), starts, self.model["transition"], self.model["initial"])[0]
+        return forward_backward(self.scores(words), starts, self.model["transition"], self.model["initial"], neighbours=False)[0]
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Posteriors summed up by text, and the texts' numbers of words. Chains of up to BATCH words are worked on at once; a longer text goes in several chains."""
@@ -193,7 +197,7 @@ class Labeller:
 
         waiting = 0
         for i, text in enumerate(texts):
-            words = WORD.findall(text.lower())
+            words = words_of(text)
             for j in range(0, len(words), BATCH):
                 chains.append(words[j : j + BATCH])
                 owners.append(i)
