@@ -76,7 +76,8 @@ def best_occurrence(text: Column, phrase: Column, hints: list[str], around: int
     n = F.size(gaps) - 1
     ends = F.aggregate(gaps, F.array().cast("array<int>"), lambda a, g: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1) + F.length(phrase), F.lit(0)) + F.length(g))))
     starts = F.slice(ends, 1, F.greatest(n, F.lit(0)))
-    near = lambda s: F.lower(F.substr(text, F.greatest(s - around, F.lit(0)) + 1, F.length(phrase) + 2 * around))
+    begin = lambda s: F.greatest(s - around, F.lit(0))
+    near = lambda s: F.lower(F.substr(text, begin(s) + 1, s + F.length(phrase) + around - begin(s)))
     score = lambda s: sum((near(s).contains(h.lower()).cast("int") for h in hints), F.lit(0))
     best = F.array_max(F.transform(starts, lambda s: F.struct(score(s).alias("hits"), (-s).alias("at"))))
     return -best["at"]

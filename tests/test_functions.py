@@ -49,7 +49,7 @@ def test_clean(on):
     assert on(["('English',)", '["France"]', "'en'", "[]", "None", "English,French", "2000"], text.ultra_clean) == ["English", "France", "en", "", "", "English,French", "2000"]
     assert on([" 2000 , x,, "], text.split_list) == [["2000", "x"]]
     assert on(["One. Two? Three"], text.sentences) == [["One.", "Two?", "Three"]]
-    assert on(["<head><title>t</title></head><p>a &amp; b</p><script>x()</script>"], text.html_text) == ["t a & b"]
+    assert on(["<head><title>t</title></head><p>a &amp; b</p><script>x()</script>"], text.html_text) == ["a & b"]
     assert on(["The  Cat, a dog!"], text.answer_normal) == ["cat dog"]
     assert on(["camelCaseWord"], text.split_camel) == ["camel Case Word"]
 
