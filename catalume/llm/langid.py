@@ -21,6 +21,8 @@ from .common import pack, small_batches
 
 #: The sample: documents a language, lines a document (both chosen by hash) and words a line at most.
 SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_WORDS = 250, 4, 60
+#: Parts of a language in which documents are ranked, so that none meets in one task.
+SALTS = 64
 #: Features kept (the most frequent), lexicon words, rounds of training, step size, and the weight of the penalty.
 FEATURES, LEXICON, ROUNDS, STEP, PENALTY = 20_000, 4_000, 60, 0.3, 1e-4
 #: Lines that are joined to one training chain, so that transitions between languages are seen.
@@ -223,10 +225,14 @@ def train(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, lines: int = SAMP
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("__hash"))
-    few = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__hash"))).where(F.col("__rank") <= docs_a_language)
+    # narrow rows are ranked in SALTS parts of each language, then the parts' first ones; only texts up to a language's last hash go further
+    ranked = lambda df, *by: df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy("__hash"))).where(F.col("__rank") <= docs_a_language)
+    first = ranked(rows.select("lang", "__hash", F.pmod(F.xxhash64("__hash"), F.lit(SALTS)).alias("__salt")), "lang", "__salt")
+    cuts = ranked(first, "lang").groupBy("lang").agg(F.max("__hash").alias("__cut"))
+    few = rows.join(F.broadcast(cuts), "lang").where("__hash <= __cut")  # a row a language
     hashed = F.transform(F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"\p{L}"))), lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(x, 1, SAMPLE_WORDS * 20).alias("line")))
     few = few.select("lang", F.explode_outer(F.slice(F.sort_array(hashed), 1, lines)).alias("x")).where("x IS NOT NULL")
-    sample = few.select("x.h", "x.line", "lang").collect()  # at most docs_a_language * lines rows a language
+    sample = few.select("x.h", "x.line", "lang").collect()  # docs_a_language * lines rows a language, but for rows that repeat a doc_id
     return fit([(r["line"], r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["lang"], r["line"]))])
 
 
