@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pack, small_batches
@@ -76,6 +76,12 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return named.select("v", F.explode("us").alias("u")).where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v").distinct()
 
 
+def near_roots(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (fingerprint, each once, and others) with root: the smallest fingerprint that is reachable over fingerprints at most RADIUS bits apart."""
+    roots = components(near_links(nodes)).select(F.col("node").alias("fingerprint"), "root")
+    return nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (long), component_id of each row of ``docs`` (doc_id and ``text``).
 
@@ -84,23 +90,29 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     are all null has a null component_id. Equal fingerprints are one node, however many copies it has.
     """
     printed = materialize(with_fingerprint(docs.select("doc_id", F.col(f"`{text}`").alias("__text")), "__text").drop("__text"), "fingerprints")
-    nodes = materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(near_links(nodes)).select(F.col("node").alias("fingerprint"), "root")
-    rooted = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = near_roots(materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fingerprint", "component_id")
     return printed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies of ``docs`` (doc_id, text and others): that with the smallest doc_id; of rows that repeat it, one.
+    """One row of each group of near copies of ``docs`` (doc_id, text and others): that with the smallest doc_id (a null one is the largest), of equal doc_ids one.
 
-    A group whose doc_ids are all null keeps one of its rows.
+    Rows are told apart by doc_id and text, so that null doc_ids and one that stands by several texts are fine.
     """
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    printed = near_groups(docs.select("doc_id", "text"))
-    heads = printed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.first("doc_id").alias("head")).select("head")
-    rows = pack(docs, doc_id=F.col("doc_id"), text_key=text).join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text_key"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    printed = materialize(with_fingerprint(docs.select("doc_id", "text", key.alias("text_key"))).drop("text"), "fingerprints")
+    roots = near_roots(materialize(printed.select("fingerprint").distinct(), "nodes"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("head")
+    heads = printed.join(roots, "fingerprint").groupBy("root").agg(least).select("head.doc_id", "head.text_key")
+    return one_row_each(docs, key, heads)
+
+
+def one_row_each(docs: DataFrame, key: Column, heads: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``heads`` (doc_id, text_key), where ``key`` is a row's text_key."""
+    heads = heads.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    rows = pack(docs, doc_id=F.col("doc_id"), text_key=key).join(heads, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("text_key", "doc_id").orderBy(F.lit(0)))
     return rows.withColumn("number", number).where("number = 1").select("row.*")
 
 
