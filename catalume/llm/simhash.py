@@ -18,30 +18,43 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pack, small_batches
+from .common import let, materialize, pack, small_batches
 from .graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Near copies of the pipeline: words of a shingle, and the least Jaccard similarity in hundredths.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 80
+#: Their candidates: tables, minima that a table joins (a pair of 0.8 meets in one of 16 tables with a chance of 1 - 2e-5), shingles minimised at once.
+TABLES, MINIMA, MIN_BLOCK = 16, 3, 1 << 10
+#: In each bucket of a table a text is compared with so many before it.
+NEIGHBOURS = 8
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles as a signed integer; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, BLOCK at a time; all words together are a shingle if there are fewer; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined, n = memoryview(b" ".join(words)), max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *(ends[: n - 1]).tolist()]
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, n, BLOCK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + BLOCK], stops[i : i + BLOCK])], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles as a signed integer; 0 for a text without words."""
+    n, ones = 0, np.zeros(BITS, np.int64)
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
@@ -57,6 +70,36 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     return df.withColumn(out, F.pandas_udf(_fingerprints, "long").asNondeterministic()(F.col(f"`{text}`")))
 
 
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, TABLES * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minhash_buckets(text: str | None) -> list[int]:
+    """The bucket of each of TABLES tables of a text's five-word shingles; none for a text without words."""
+    least = None
+    for hashes in shingle_hashes(text, COPY_SHINGLE):
+        for i in range(0, len(hashes), MIN_BLOCK):
+            now = (hashes[i : i + MIN_BLOCK, None] * MULTIPLIERS).min(axis=0)
+            least = now if least is None else np.minimum(least, now)
+    if least is None:
+        return []
+    return [signed(xxhash.xxh64_intdigest(row.tobytes(), t)) for t, row in enumerate(least.astype("<u8").reshape(TABLES, MINIMA))]
+
+
+def _buckets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield pd.Series([minhash_buckets(t) for t in s], dtype="object")
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles as signed integers."""
+    return np.unique(np.concatenate([*shingle_hashes(text, COPY_SHINGLE), np.empty(0, "<u8")]).view("<i8"))
+
+
+def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield pd.Series([shingle_set(t) for t in s], dtype="object")
+
+
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """2 ** (radius + 1) - 1 masks; for any ``radius`` bits one of them keeps none of these."""
     codes = (1 << (radius + 1)) - 1
@@ -95,17 +138,65 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     return printed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def copy_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs u > v of ``nodes`` (text_key, fingerprint, buckets) that may be near copies, each once.
+
+    Those that op6's links join, and in each bucket of a MinHash table each text with the bucket's first and the
+    NEIGHBOURS before it, in the order of the next two tables' buckets, so that the most alike stand together. A bucket of
+    up to NEIGHBOURS + 1 texts thus gives all its pairs, a larger one a number of pairs in proportion to its texts.
+    """
+    prints = materialize(nodes.groupBy("fingerprint").agg(F.min("text_key").alias("first")), "prints")
+    same = nodes.join(prints, "fingerprint").select(F.col("text_key").alias("u"), F.col("first").alias("v"))
+    firsts = lambda name: prints.select(F.col("fingerprint").alias(name), F.col("first").alias(f"first_{name}"))
+    near = near_links(prints.select("fingerprint")).join(firsts("u"), "u").join(firsts("v"), "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    following = lambda k: F.get("buckets", (F.col("table") + k) % TABLES)
+    tables = nodes.select("text_key", "buckets", F.posexplode("buckets").alias("table", "bucket")).select("text_key", "table", "bucket", following(1).alias("next"), following(2).alias("after"))
+    crowded = tables.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    order = Window.partitionBy("table", "bucket").orderBy("next", "after", "text_key")
+    before = F.concat(F.array(F.first("text_key").over(order)), F.collect_list("text_key").over(order.rowsBetween(-NEIGHBOURS, -1)))
+    met = tables.join(crowded, ["table", "bucket"]).select(F.col("text_key").alias("u"), before.alias("before")).select("u", F.explode("before").alias("v"))
+    pairs = same.unionByName(near).unionByName(met).where("u <> v")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def copy_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose ``texts`` (text_key, text) have a Jaccard similarity of their five-word shingles of COPY_SIMILARITY hundredths or more, from the whole sets."""
+    used = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+    once = texts.join(used, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    sets = materialize(once.select("text_key", F.pandas_udf(_sets, "array<long>")("text").alias("set")), "sets")
+    side = lambda name: sets.select(F.col("text_key").alias(name), F.col("set").alias(f"set_{name}"))
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    alike = let(both, lambda n: 100 * n >= COPY_SIMILARITY * (F.size("set_u") + F.size("set_v") - n))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(alike).select("u", "v")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One row of each group of ``docs`` (doc_id, text and others) that five-word Jaccard similarities of COPY_SIMILARITY hundredths or more connect: the row that drop_near_copies would choose."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = with_fingerprint(docs.select("doc_id", "text", key.alias("text_key")))
+    printed = materialize(rows.withColumn("buckets", F.pandas_udf(_buckets, "array<long>").asNondeterministic()("text")).drop("text"), "fingerprints")
+    nodes = materialize(printed.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets")), "nodes")
+    pairs = materialize(copy_candidates(nodes), "pairs")
+    roots = components(copy_links(pairs, docs.select(key.alias("text_key"), "text"))).select(F.col("node").alias("text_key"), "root")
+    rooted = printed.select("doc_id", "text_key").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    return one_row_each(docs, key, least_rows(rooted))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies of ``docs`` (doc_id, text and others): that with the smallest doc_id (a null one is the largest), of equal doc_ids one.
+    """One row of each group of near copies of ``docs`` (doc_id, text and others), as op6 groups them: that with the smallest doc_id (a null one is the largest), of equal doc_ids one.
 
     Rows are told apart by doc_id and text, so that null doc_ids and one that stands by several texts are fine.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     printed = materialize(with_fingerprint(docs.select("doc_id", "text", key.alias("text_key"))).drop("text"), "fingerprints")
     roots = near_roots(materialize(printed.select("fingerprint").distinct(), "nodes"))
+    return one_row_each(docs, key, least_rows(printed.join(roots, "fingerprint")))
+
+
+def least_rows(rooted: DataFrame) -> DataFrame:
+    """doc_id, text_key of the row with the smallest doc_id of each root of ``rooted`` (doc_id, text_key, root)."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("head")
-    heads = printed.join(roots, "fingerprint").groupBy("root").agg(least).select("head.doc_id", "head.text_key")
-    return one_row_each(docs, key, heads)
+    return rooted.groupBy("root").agg(least).select("head.doc_id", "head.text_key")
 
 
 def one_row_each(docs: DataFrame, key: Column, heads: DataFrame) -> DataFrame:

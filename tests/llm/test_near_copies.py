@@ -1,5 +1,8 @@
-"""The pipeline's near-copy stage on ids that are null or repeat."""
+"""The pipeline's near-copy stage against brute force, and on ids that are null or repeat."""
 
+import random
+
+import corpus_pipeline
 from catalume.llm import simhash
 
 from .conftest import DOCS
@@ -20,3 +23,36 @@ def test_texts_without_ids(spark):
 
 def test_repeated_id(spark):
     assert kept(spark, [(7, SOUP), (7, BIRD), (7, BIRD), (9, SOUP)]) == [(False, 7, BIRD), (False, 7, SOUP)]
+
+
+def test_pairs_of_four_fifths(spark, none):
+    """Near copies by five-word Jaccard similarity, at any distance of their fingerprints, go; others stay."""
+    draw = random.Random(5)
+    rows = []
+    for _ in range(12):
+        words = [f"w{draw.randrange(5000)}" for _ in range(120)]
+        for changes in (0, 1, 2, 5):
+            now = [*words]
+            for c in range(changes):
+                now[20 + 18 * c] = f"x{draw.randrange(5000)}"
+            rows.append((len(rows), " ".join(now)))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = [shingles(t) for _, t in rows]
+    root = [*range(len(rows))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    wanted = {min(i for i, r in enumerate(root) if r == group) for group in root}
+    assert 12 < len(wanted) < len(rows)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_copies"]
+    assert {r["doc_id"] for r in stage(spark, df, "").collect()} == wanted
+    assert stage(spark, none, "").count() == 0
+
+
+def test_stage_on_ids(spark):
+    rows = [(7, SOUP), (7, BIRD), (9, SOUP), (None, "one two"), (None, "three four"), (None, ""), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    found = {(r["doc_id"], r["text"]) for r in simhash.drop_copies(df).collect()}
+    assert found == {(7, SOUP), (7, BIRD), (None, "one two"), (None, "three four"), (8, None)}
