@@ -1,9 +1,10 @@
 """Personal data, found by patterns and sanitised by information content.
 
-E-mail addresses, IP addresses, card and phone numbers are protected entities. A term near one reveals it as far as seeing
-the term tells which entity stands there: their pointwise mutual information, from document counts over the whole corpus,
-against the entity's own information. A term that reveals a large share is removed, one that reveals less is generalised to
-its first letter; what lies below the disclosure threshold stays. Documents without entities are left as they are.
+E-mail addresses, IP addresses, card and phone numbers are protected entities. A term in a document that holds one reveals
+it as far as seeing the term tells which entity stands there: their pointwise mutual information, from document counts over
+the whole corpus, against the entity's own information. In every document that holds the entity, all occurrences of a term
+that reveals a large share are removed, those of one that reveals less are generalised to its first letter; what lies below
+the disclosure threshold stays. Documents without entities are left as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: What a text must contain to have a match at all.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Characters on both sides of an entity in which terms are looked for, letters of a term, documents in which a term must stand near an entity, and shares of an entity's information from which a term is generalised or removed.
-CONTEXT, LETTERS, SUPPORT, GENERALISE, REMOVE = 80, 3, 2, 0.5, 0.8
+#: Letters of a term, documents that a term and an entity must share, and shares of an entity's information from which a term is generalised or removed.
+LETTERS, SUPPORT, GENERALISE, REMOVE = 3, 2, 0.5, 0.8
+TERM = rf"\p{{L}}{{{LETTERS},}}"
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
@@ -78,30 +80,28 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(of_kind(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def nearby_terms(text: Column, span: Column, spans: Column) -> Column:
-    """Words of LETTERS letters or more within CONTEXT characters of a span, outside all spans: structs of entity, term (hash of the lower-cased word), start, end. A word that the context's end may cut is left out."""
-    pattern = rf"\p{{L}}{{{LETTERS},}}"
-    lead = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.filter(found(F.substr(text, lead + 1, span["start"] - lead), pattern), lambda x: (x["start"] > 0) | (lead == 0))
-    left = F.transform(left, lambda x: F.struct((x["start"] + lead).alias("start"), (x["end"] + lead).alias("end"), x["value"].alias("value")))
-    right = F.filter(found(F.substr(text, span["end"] + 1, F.lit(CONTEXT)), pattern), lambda x: x["end"] < CONTEXT)
-    right = F.transform(right, lambda x: F.struct((x["start"] + span["end"]).alias("start"), (x["end"] + span["end"]).alias("end"), x["value"].alias("value")))
-    free = F.filter(F.concat(left, right), lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    entity = F.xxhash64(span["kind"], F.lower(span["value"]))
-    return F.transform(free, lambda x: F.struct(entity.alias("entity"), F.xxhash64(F.lower(x["value"])).alias("term"), x["start"].alias("start"), x["end"].alias("end")))
+def term_hashes(text: Column) -> Column:
+    """The distinct terms of a text, words of LETTERS letters or more, as hashes of the lower-cased words."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
 
 
-def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, share for the pairs of ``near`` (row key, entity, term) that exceed the disclosure threshold.
+def occurrences(text: Column, removed: Column, general: Column, spans: Column) -> Column:
+    """All occurrences of the terms (hashes) ``removed`` and ``general`` outside all spans, by start: structs of start, end, kind."""
+    hit = lambda terms, value: F.array_contains(terms, F.xxhash64(F.lower(value)))
+    marked = found(text, TERM, lambda value: hit(removed, value) | hit(general, value))
+    free = F.filter(marked, lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+    return F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(hit(removed, x["value"]), "removed").otherwise("general").alias("kind")))
+
+
+def disclosing(pairs: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
+    """entity, term, share for the ``pairs`` (key, entity, term of documents that hold both) that exceed the disclosure threshold; ``held`` has the entities of each document (key, entities).
 
     share = log2(N * both / (df(entity) * df(term))) / log2(N / df(entity)), with document counts over all of ``docs``.
     """
     total = float(docs.count())
-    pairs = near.select("key", "entity", "term").distinct()
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+", -1), lambda w: F.length(w) >= LETTERS))
-    terms = docs.select(F.explode_outer(words).alias("w")).where("w IS NOT NULL").groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("of_term"))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    terms = docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
     rows = both.join(entities, "entity").join(terms, "term")
     own = F.log2(F.lit(total) / F.col("of_entity"))
     share = F.when(own > 0, F.log2(F.lit(total) * F.col("both") / (F.col("of_entity") * F.col("of_term"))) / own)
@@ -118,15 +118,17 @@ def find_personal(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.flatten(F.transform("base", lambda s: nearby_terms(F.col("text"), s, F.col("base"))))
-    rows = materialize(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, near).alias("near")), "spans")
-    near = rows.where("near IS NOT NULL").select("key", F.explode("near").alias("n")).select("key", "n.*")
-    flagged = near.join(disclosing(near, docs), ["entity", "term"])
-    kind = F.when(F.max("share") >= REMOVE, "removed").otherwise("general")
-    terms = flagged.groupBy("key", "start", "end").agg(kind.alias("kind"))
-    terms = terms.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
+    rows = materialize(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "spans")
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    held = rows.where("text IS NOT NULL").select("key", entities.alias("entities"), term_hashes(F.col("text")).alias("terms"))
+    held = materialize(held.dropDuplicates(["key"]), "held")
+    pairs = held.select("key", "terms", F.explode("entities").alias("entity")).select("key", "entity", F.explode("terms").alias("term"))
+    flagged = pairs.join(disclosing(pairs, held, docs), ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    removed = F.col("share") >= REMOVE
+    marks = flagged.groupBy("key").agg(F.collect_list(F.when(removed, F.col("term"))).alias("removed"), F.collect_list(F.when(~removed, F.col("term"))).alias("general"))
+    terms = F.when(F.col("removed").isNotNull(), occurrences(F.col("text"), F.col("removed"), F.col("general"), F.col("base")))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return rows.drop("near").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    return rows.join(marks, "key", "left").select("doc_id", "key", "base", F.coalesce(terms, none).alias("terms"))
 
 
 def span_list(spans: Column) -> Column:
