@@ -48,10 +48,13 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def segments(html: Column, chunk_bytes: int) -> Column:
-    """The payload as an array of binary chunks of at most ``chunk_bytes``; a version line inside a payload is cut in two, so that no chunk looks like the start of a record."""
+    """The payload as an array of binary chunks of at most ``chunk_bytes``; a version line inside a payload, or a version at a chunk's end, where a line break is written, is cut in two, so that no chunk looks like the start of a record."""
     parts = F.transform(F.split(F.coalesce(html, F.lit("")), r"(?<=WARC/1)(?=\.1\r\n)", -1), lambda p: F.encode(p, "UTF-8"))
     cut = lambda p: F.transform(F.sequence(F.lit(0), ((F.octet_length(p) - 1) / chunk_bytes).cast("int")), lambda i: F.substr(p, i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    return F.flatten(F.transform(parts, cut))
+    end, size = F.lit(VERSION.encode()), len(VERSION)
+    halves = lambda c: F.array(F.substr(c, F.lit(1), F.octet_length(c) - 2), F.lit(VERSION[-2:].encode()))
+    apart = lambda c: F.when(F.substr(c, F.octet_length(c) - (size - 1), F.lit(size)) == end, halves(c)).otherwise(F.array(c))
+    return F.flatten(F.transform(F.flatten(F.transform(parts, cut)), apart))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, chunk_bytes: int = CHUNK, date: str = "2024-01-01T00:00:00Z") -> None:
