@@ -38,12 +38,14 @@ def words_of(text: str) -> list[str]:
     return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
-def word_features(word: str) -> list[str]:
-    """Prefixes and suffixes of up to 3 characters, character 2-grams and 3-grams, and the word itself as its lexicon entry."""
-    w = f"<{word[:40]}>"
-    out = [f"p{w[:n]}" for n in (2, 3, 4)] + [f"s{w[-n:]}" for n in (2, 3, 4)]
-    out += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    return [*out, f"={word}"]
+def word_features(word: str) -> Iterator[str]:
+    """Prefixes and suffixes of up to 3 characters, character 2-grams and 3-grams of the whole word, and the word itself as its lexicon entry; one by one, as a word may be as long as a text."""
+    w = f"<{word}>"
+    yield from (f"p{w[:n]}" for n in (2, 3, 4))
+    yield from (f"s{w[-n:]}" for n in (2, 3, 4))
+    yield from (w[i : i + 2] for i in range(len(w) - 1))
+    yield from (w[i : i + 3] for i in range(len(w) - 2))
+    yield f"={word}"
 
 
 def forward_backward(emission: np.ndarray, starts: np.ndarray, transition: np.ndarray, initial: np.ndarray, neighbours: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
