@@ -36,9 +36,9 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def pack(df: DataFrame, **more: Column) -> DataFrame:
-    """All columns of ``df`` as the struct `row`, and columns of its own beside it: names that operators use inside can't meet names of the data."""
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(k) for k, c in more.items()))
+def pack(df: DataFrame, *columns: str, **more: Column) -> DataFrame:
+    """The named columns of ``df`` (all, if none are named) as the struct `row`, and columns of its own beside it: names that operators use inside can't meet names of the data."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in columns or df.columns)).alias("row"), *(c.alias(k) for k, c in more.items()))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column, block: int = 256) -> Column:
+    """For each element of an array what ``combine`` (associative, with ``zero`` as its neutral element) makes of all elements before it.
+
+    Blocks of ``block`` elements are combined on their own and then with what stands before them, since an array that is
+    built element by element is copied each time: the work grows little faster than the array.
+    """
+    none = F.slice(F.array(zero), 1, 0)
+    start = F.struct(zero.alias("at"), none.alias("out"))
+
+    def scan(xs: Column, value: Callable[[Column], Column]) -> Column:
+        step = lambda a, x: F.struct(combine(a["at"], value(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(xs, start, step)
+
+    def blocks(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: scan(F.slice(xs, b * block + 1, block), lambda x: x))
+
+    def joined(parts: Column) -> Column:
+        before = scan(parts, lambda p: p["at"])["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p["out"], lambda x: combine(b, x))))
+
+    return let(let(values, blocks), joined)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

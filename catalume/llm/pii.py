@@ -3,8 +3,11 @@
 E-mail addresses, IP addresses, card and phone numbers are protected entities. A term in a document that holds one reveals
 it as far as seeing the term tells which entity stands there: their pointwise mutual information, from document counts over
 the whole corpus, against the entity's own information. In every document that holds the entity, all occurrences of a term
-that reveals a large share are removed, those of one that reveals less are generalised to its first letter; what lies below
-the disclosure threshold stays. Documents without entities are left as they are.
+that reveals nearly all are removed, those of one that reveals less are generalised to its first letter; what lies below the
+disclosure threshold stays. Documents without entities are left as they are.
+
+All counts are of different texts: a group of equal texts counts once, so that copies are no evidence. Terms are runs of
+letters outside e-mail addresses, compared in lower case; the other kinds of entity have no letters.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pack
+from .common import let, materialize, pack, running
 
 #: The kinds in order, and their patterns. Possessive groups and what stands before a run only keep Java's matcher from running long or deep; the matches are the same.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -24,26 +27,27 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 #: What a text must contain to have a match at all.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Letters of a term, documents that a term and an entity must share, and shares of an entity's information from which a term is generalised or removed.
-LETTERS, SUPPORT, GENERALISE, REMOVE = 3, 2, 0.5, 0.8
+#: Letters of a term at least, and shares of an entity's information from which a term is generalised or removed. For an entity of a single text the shares mean that a term stands in at most the fifth or the twentieth root of the number of texts.
+LETTERS, GENERALISE, REMOVE = 3, 0.8, 0.95
 TERM = rf"\p{{L}}{{{LETTERS},}}"
+#: Characters of a piece in which a text is held to cut it at many places.
+PIECE = 512
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+TERMS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def found(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
     """The matches of a pattern whose value passes ``keep``, leftmost and non-overlapping, as structs of start, end (code points) and value: the pieces between matches and the matches add up to the positions."""
-    steps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
+    steps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("value")))
     steps = F.filter(steps, lambda x: x["value"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        end = begin + F.length(x["value"])
-        more = F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
-        return F.struct(end.alias("at"), F.when(keep(x["value"]), more).otherwise(a["out"]).alias("out"))
+    def spans(s: Column) -> Column:
+        before = running(F.transform(s, lambda x: x["gap"] + x["size"]), lambda a, b: a + b, F.lit(0))
+        each = F.zip_with(s, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))
+        return F.filter(each, lambda x: keep(x["value"]))
 
-    return F.aggregate(steps, start, step, lambda a: a["out"])
+    return let(steps, spans)
 
 
 def luhn(digits: Column) -> Column:
@@ -80,87 +84,131 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(of_kind(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def term_hashes(text: Column) -> Column:
-    """The distinct terms of a text, words of LETTERS letters or more, as hashes of the lower-cased words."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+def without_addresses(text: Column) -> Column:
+    """The text with a digit in the place of each character of an e-mail address: no address has a term, and positions stay."""
+    filled = F.zip_with(F.split(text, EMAIL, -1), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda gap, m: F.concat(gap, F.repeat(F.lit("0"), F.coalesce(F.length(m), F.lit(0)))))
+    return F.when(F.instr(text, "@") > 0, F.array_join(filled, "")).otherwise(text)
 
 
-def occurrences(text: Column, removed: Column, general: Column, spans: Column) -> Column:
-    """All occurrences of the terms (hashes) ``removed`` and ``general`` outside all spans, by start: structs of start, end, kind."""
-    hit = lambda terms, value: F.array_contains(terms, F.xxhash64(F.lower(value)))
-    marked = found(text, TERM, lambda value: hit(removed, value) | hit(general, value))
-    free = F.filter(marked, lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(hit(removed, x["value"]), "removed").otherwise("general").alias("kind")))
+def term_hashes(text: Column) -> Column:
+    """The distinct terms of a text as hashes of the lower-cased words."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(without_addresses(text), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
 
 
-def disclosing(pairs: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
-    """entity, term, share for the ``pairs`` (key, entity, term of documents that hold both) that exceed the disclosure threshold; ``held`` has the entities of each document (key, entities).
+def occurrences(text: Column, marks: Column) -> Column:
+    """All occurrences of the marked terms (structs term, share) of a text, by start: structs of start, end, kind.
 
-    share = log2(N * both / (df(entity) * df(term))) / log2(N / df(entity)), with document counts over all of ``docs``.
+    Marks and words are sorted together, so that each word finds its mark by the last one before it.
     """
-    total = float(docs.count())
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    terms = docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    rows = both.join(entities, "entity").join(terms, "term")
-    own = F.log2(F.lit(total) / F.col("of_entity"))
-    share = F.when(own > 0, F.log2(F.lit(total) * F.col("both") / (F.col("of_entity") * F.col("of_term"))) / own)
-    return rows.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    at = lambda term, rank, share, start, end: F.struct(term.alias("term"), F.lit(rank).alias("rank"), share.alias("share"), start.alias("start"), end.alias("end"))
+    words = F.transform(found(without_addresses(text), TERM), lambda w: at(F.xxhash64(F.lower(w["value"])), 1, F.lit(None).cast("double"), w["start"], w["end"]))
+    ordered = F.sort_array(F.concat(F.transform(marks, lambda m: at(m["term"], 0, m["share"], F.lit(0), F.lit(0))), words))
+
+    def hits(rows: Column) -> Column:
+        own = F.transform(rows, lambda x: F.when(x["rank"] == 0, F.struct(x["term"].alias("term"), x["share"].alias("share"))))
+        last = running(own, lambda a, b: F.coalesce(b, a), F.lit(None).cast("struct<term:bigint,share:double>"))
+        kind = lambda share: F.when(share >= REMOVE, "removed").otherwise("general")
+        return F.zip_with(rows, last, lambda x, m: F.when((x["rank"] == 1) & (x["term"] == m["term"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), kind(m["share"]).alias("kind"))))
 
+    return F.sort_array(F.filter(let(ordered, hits), lambda x: x.isNotNull()))
 
-def find_personal(docs: DataFrame) -> DataFrame:
-    """One row for each of ``docs`` (doc_id, text): doc_id, key (hash of doc_id and text), base and terms, arrays of spans.
+
+def disclosing(texts: DataFrame) -> DataFrame:
+    """key, term, share for the terms of each of the different ``texts`` (key, terms, entities) that exceed the disclosure threshold for one of its entities.
+
+    share = log2(N * both / (df(entity) * df(term))) / log2(N / df(entity)), with counts over all texts. An entity of a
+    single text has every term of that text with it, so that only the others' pairs with terms are made and counted; the
+    single ones of a text go as one. Terms that are too frequent for any share above the threshold are left out first.
+    """
+    total = float(texts.count())
+    held = texts.where(F.size("entities") > 0)
+    owners = held.select("key", F.explode("entities").alias("entity"))
+    counted = owners.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    often = float(counted.agg(F.max("of_entity")).first()[0] or 0)
+    most = total ** (1 - GENERALISE) * often**GENERALISE * (1 + 1e-9)
+    terms = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).where(F.col("of_term") <= most)
+    shared = materialize(counted.where("of_entity > 1"), "entities")
+    known = owners.join(shared, "entity", "left")
+    single = known.where("of_entity IS NULL").select("key").distinct()
+    several = known.where("of_entity IS NOT NULL").select("key", "entity")
+
+    def share(both: Column, of_entity: Column) -> Column:
+        own = F.log2(F.lit(total) / of_entity)
+        return F.when(own > 0, F.log2(F.lit(total) * both / (of_entity * F.col("of_term"))) / own)
+
+    one = F.lit(1.0)
+    alone = held.join(single, "key", "left_semi").select("key", F.explode("terms").alias("term")).join(terms, "term").select("key", "term", share(one, one).alias("share"))
+    pairs = several.join(held.select("key", "terms"), "key").select("key", "entity", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    rated = both.join(terms, "term").join(shared, "entity").select("entity", "term", share(F.col("both"), F.col("of_entity")).alias("share")).where(F.col("share") >= GENERALISE)
+    rows = alone.where(F.col("share") >= GENERALISE).unionByName(pairs.join(rated, ["entity", "term"]).select("key", "term", "share"))
+    return rows.groupBy("key", "term").agg(F.max("share").alias("share"))
+
+
+def find_personal(docs: DataFrame, *columns: str) -> DataFrame:
+    """For each of ``docs`` (text and others): its ``columns`` (all, if none are named) as the struct `row`, and base and terms, arrays of spans.
 
     ``base`` has start, rank, end, kind, value; ``terms`` start, end, kind (`general` or `removed`), by start. Both are empty
-    for null and empty texts. Rows that repeat doc_id and text get equal spans and count as one document for a pair of
-    entity and term. Counts of hot entities and terms are added up before they are shuffled.
+    for null and empty texts. Equal texts get equal spans and count as one; an empty table gives no rows. A text of any
+    length or number of entities is read whole, in time that grows little faster than it. Patterns are searched once, where
+    rows are read; then only hashes of terms are shuffled, and the texts with entities to their marks.
     """
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    rows = materialize(rows.select("doc_id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "spans")
+    text = F.coalesce("text", F.lit(""))
+    rows = pack(docs, *columns, key=F.md5(text), text=text).withColumn("base", base_spans(F.col("text")))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    held = rows.where("text IS NOT NULL").select("key", entities.alias("entities"), term_hashes(F.col("text")).alias("terms"))
-    held = materialize(held.dropDuplicates(["key"]), "held")
-    pairs = held.select("key", "terms", F.explode("entities").alias("entity")).select("key", "entity", F.explode("terms").alias("term"))
-    flagged = pairs.join(disclosing(pairs, held, docs), ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
-    removed = F.col("share") >= REMOVE
-    marks = flagged.groupBy("key").agg(F.collect_list(F.when(removed, F.col("term"))).alias("removed"), F.collect_list(F.when(~removed, F.col("term"))).alias("general"))
-    terms = F.when(F.col("removed").isNotNull(), occurrences(F.col("text"), F.col("removed"), F.col("general"), F.col("base")))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return rows.join(marks, "key", "left").select("doc_id", "key", "base", F.coalesce(terms, none).alias("terms"))
+    rows = materialize(rows.select("row", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), entities.alias("entities"), term_hashes(F.col("text")).alias("terms")), "spans")
+    texts = materialize(rows.groupBy("key").agg(F.first("terms").alias("terms"), F.first("entities").alias("entities")), "texts")
+    marks = disclosing(texts).groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("marks"))
+    none = F.array().cast(TERMS)
+    held = rows.where("text IS NOT NULL").select("row", "key", "base", "text").join(marks, "key", "left")
+    held = held.select("row", "base", F.when(F.col("marks").isNotNull(), occurrences(F.col("text"), F.col("marks"))).otherwise(none).alias("terms"))
+    return rows.where("text IS NULL").select("row", "base", none.alias("terms")).unionByName(held)
 
 
 def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and others) with its entities replaced by their kind in brackets, removed terms by `[removed]` and general terms by their first letter and an ellipsis. Of overlapping spans the first is replaced and the rest of the others goes with it. n_chars, if there, follows the text; a null text stays null."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("")))
-    spans = find_personal(docs.select("doc_id", "text")).where("size(base) > 0").dropDuplicates(["key"])
-    every = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
-    )
-    spans = spans.select(F.col("key").alias("__key"), F.sort_array(every).alias("__spans"))
-    rows = pack(docs, __key=key, text=F.col("text")).join(spans, "__key", "left")
+def replaced(text: Column, base: Column, terms: Column) -> Column:
+    """The text with its entities as their kind in brackets, removed terms as `[removed]` and general terms as their first letter and an ellipsis. Of overlapping spans the first is replaced and the rest of the others goes with it."""
+    every = F.sort_array(F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))),
+        F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
+    ))
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        begin = lambda i: F.greatest(a - i * PIECE, F.lit(0))
+        cut = lambda i: F.substr(F.get(pieces, i), begin(i) + 1, F.least(b - i * PIECE, F.lit(PIECE)) - begin(i))
+        touched = F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(touched, cut), "")).otherwise("")
+
+    def change(pieces: Column) -> Column:
+        def mark(s: Column, at: Column) -> Column:
+            general = F.concat(between(pieces, s["start"], s["start"] + 1), F.lit("…"))
+            return F.when(s["start"] < at, "").when(s["kind"] == "general", general).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+
+        def out(spans: Column) -> Column:
+            reach = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+            parts = F.zip_with(spans, reach, lambda s, at: F.array(between(pieces, at, s["start"]), mark(s, at)))
+            return F.concat(F.array_join(F.flatten(parts), ""), between(pieces, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    def cut(a: Column, s: Column) -> Column:
-        piece = F.substr(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        mark = F.when(s["start"] < a["at"], "").when(s["kind"] == "general", F.concat(F.substr(F.col("text"), s["start"] + 1, F.lit(1)), F.lit("…"))).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(piece, mark)).alias("out"))
+        return let(every, out)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("__spans", start, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1)))
-    rows = rows.withColumn("__clean", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text")))
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), change)
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """``docs`` (text and others) without personal data and the terms that disclose it. n_chars, if there, follows the text; a null text, a text without entities and all other columns stay; rows that repeat are changed alike."""
+    rows = find_personal(docs)
+    clean = F.when(F.size("base") > 0, replaced(F.col("row.text"), F.col("base"), F.col("terms"))).otherwise(F.col("row.text"))
+    rows = rows.select("row", clean.alias("__clean"))
     kept = {"text": F.col("__clean"), "n_chars": F.coalesce(F.length("__clean").cast("long"), F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("__clean")}
     return rows.select(*(kept[c].alias(c) if c in kept else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op1_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Counts and digest of every document's base spans, all its spans, and the number of terms."""
-    out = find_personal(docs.select("doc_id", "text"))
+    out = find_personal(docs, "doc_id").select("row.doc_id", "base", "terms")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     ranked = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))),
