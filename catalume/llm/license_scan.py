@@ -2,13 +2,15 @@
 
 All rolling word k-grams of the documents are joined with the k-grams of the license templates. A hit votes for the
 diagonal (its place in the document less its place in the template); a template that stands in a text unchanged puts all
-its votes on one diagonal, one with words left out or put in on neighbouring ones, which are merged. What has enough of
-a template's votes in about its length is a span. Phrases are templates of which every k-gram must hit on one diagonal.
+its votes on one diagonal, one with words left out or put in on neighbouring ones. These are merged, in the document's
+order, as long as the places in the template go on: where they start again, another copy begins. What has enough of a
+template's votes in about its length is a span; of a group that is too long together, each diagonal is judged by itself,
+so that no copy is lost to its neighbours. Phrases are templates of which every k-gram must hit on one diagonal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
@@ -25,6 +27,11 @@ TEXTS = {
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "bsd-3-clause-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "boost-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    "cc0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
     "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
 #: Separator of the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a lower-cased text.
@@ -75,24 +82,33 @@ def scan_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: dict[s
     """The license spans of ``docs`` (doc_id, text), and a row without label for each document.
 
     doc_id, text_key, n_words, copies (rows that repeat doc_id and text; in rows without label), label, phrase, first_word
-    and end_word (words from 0, end exclusive), score (share of the template's k-grams found). Null texts have no words.
+    and end_word (words from 0, end exclusive), score (share of the template's k-grams found). Null and empty texts have no
+    words; texts of any length are scanned whole; an empty table gives no rows; other columns of ``docs`` are not looked at,
+    whatever their names. Spans of different templates may overlap.
     """
     where = ["doc_id", "text_key", "n_words", "template", "label", "phrase", "grams"]
-    lines = find_hits(docs, phrases, texts).groupBy(*where, "diagonal").agg(F.collect_set("place").alias("places"), F.count(F.lit(1)).alias("copies"))
-    along = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(along) > GAP)
+    k = F.when(F.col("phrase"), PHRASE_GRAM).otherwise(TEXT_GRAM)
+    lines = find_hits(docs, phrases, texts).groupBy(*where, "diagonal").agg(F.array_sort(F.collect_set("place")).alias("places"), F.count(F.lit(1)).alias("copies"))
+    lines = lines.select(*where, "diagonal", "copies", F.array_min("places").alias("low"), F.array_max("places").alias("high"), F.size("places").alias("found"))
+    along = Window.partitionBy("doc_id", "text_key", "template").orderBy(F.col("diagonal") + F.col("low"), "diagonal")
+    before = lambda c: F.lag(c).over(along)
+    apart = F.col("phrase") | (F.abs(F.col("diagonal") - before("diagonal")) > GAP) | (F.col("low") <= before("high"))
     lines = lines.withColumn("__new", F.coalesce(apart, F.lit(True)).cast("int"))
     lines = lines.withColumn("__group", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    k = F.when(F.col("phrase"), PHRASE_GRAM).otherwise(TEXT_GRAM)
-    spans = lines.groupBy(*where, "__group").agg(
-        F.max("copies").alias("copies"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("__found"),
-        F.min(F.col("diagonal") + F.array_min("places")).cast("long").alias("first_word"),
-        F.max(F.col("diagonal") + F.array_max("places")).cast("long").alias("__last"),
-    )
-    spans = spans.select("*", (F.col("__last") + k).alias("end_word"), (F.col("__found") / F.col("grams")).alias("score"))
-    verified = F.when(F.col("phrase"), F.col("__found") == F.col("grams")).otherwise((F.col("score") >= SHARE) & (F.col("end_word") - F.col("first_word") <= STRETCH * (F.col("grams") + TEXT_GRAM)))
-    return spans.where(F.col("template").isNull() | verified).select("doc_id", "text_key", "n_words", "copies", "label", "phrase", "first_word", "end_word", "score")
+    span = F.struct((F.col("diagonal") + F.col("low")).cast("long").alias("first_word"), (F.col("diagonal") + F.col("high") + k).cast("long").alias("end_word"), "found")
+    groups = lines.groupBy(*where, "__group").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(span)).alias("own"))
+    total = F.aggregate("own", F.lit(0), lambda a, x: a + x["found"])
+    merged = F.struct(F.get("own", F.lit(0))["first_word"].alias("first_word"), F.array_max(F.transform("own", lambda x: x["end_word"])).alias("end_word"), total.alias("found"))
+
+    def verified(x: Column) -> Column:
+        short = x["end_word"] - x["first_word"] <= STRETCH * (F.col("grams") + TEXT_GRAM)
+        return F.when(F.col("phrase"), x["found"] == F.col("grams")).otherwise((x["found"] >= SHARE * F.col("grams")) & short)
+
+    groups = groups.withColumn("merged", merged)
+    # a group that is too long together still has its diagonals
+    kept = F.when(verified(F.col("merged")), F.array("merged")).otherwise(F.filter("own", verified))
+    spans = groups.select(*where, "copies", F.explode_outer(F.when(F.col("template").isNotNull(), kept)).alias("x")).where("template IS NULL OR x IS NOT NULL")
+    return spans.select("doc_id", "text_key", "n_words", "copies", "label", "phrase", "x.first_word", "x.end_word", (F.col("x.found") / F.col("grams")).alias("score"))
 
 
 def op2_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -101,6 +101,37 @@ def test_license_texts(spark, none):
     assert license_scan.op2_licenses(spark, none).count() == 0
 
 
+def spans_of(spark, texts):
+    out = license_scan.scan_spans(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).where("label IS NOT NULL AND NOT phrase")
+    return sorted((r["doc_id"], r["first_word"], r["end_word"], r["label"]) for r in out.collect())
+
+
+def test_license_copies(spark):
+    """A notice stays found whatever copies follow it, and each copy that holds enough of it is a span."""
+    notice = license_scan.TEXTS["cc-by-notice"].split()
+    n = len(license_scan.TEXTS["cc-by-notice"].replace("4.0", "4 0").replace(".", "").split())
+    cut = notice[4:]
+    texts = [" ".join(notice + cut * times) for times in range(4)]
+    found = spans_of(spark, texts)
+    for i in range(4):
+        assert [(a, b) for d, a, b, _ in found if d == i] == [(0, n), *((n + (n - 4) * j, n + (n - 4) * (j + 1)) for j in range(i))]
+    assert spans_of(spark, [" ".join(notice * 50)]) == [(0, n * j, n * j + n, "cc-by-notice") for j in range(50)]
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.TEXTS))
+def test_each_license_alone(spark, label):
+    """A text has its own label only, whole and with one word in ten left out."""
+    words = license_scan.TEXTS[label].split()
+    text = "before it " + " ".join(words) + " and after"
+    assert {x[3] for x in spans_of(spark, [text, " ".join(w for i, w in enumerate(words) if i % 12 != 6)])} == {label}
+
+
+def test_license_odd(spark, odd, none):
+    clash = odd.selectExpr("doc_id", "text", "lang AS template", "source AS grams", "n_chars AS diagonal", "text AS label")
+    assert table(license_scan.op2_licenses(spark, clash)) == table(license_scan.op2_licenses(spark, odd))
+    assert license_scan.op2_licenses(spark, none).count() == 0
+
+
 def quality_row(doc_id, text):
     words, lines = SPACE_WORD.findall(text or ""), [x for x in (text or "").split("\n") if SPACE_WORD.search(x)]
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
