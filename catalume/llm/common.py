@@ -23,17 +23,42 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/catalume/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path as it wants it, by Spark's own connectors."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Has the folder ``path`` deleted when the driver's JVM ends."""
+    fs, there = file_system(spark, path)
+    fs.deleteOnExit(there)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: it cuts the lineage, and a lost executor loses nothing."""
+    """``df`` written once as Parquet in the shared folder and read back: it cuts the lineage, and a lost executor loses nothing. The folder goes when the driver ends, or earlier by `discard`."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` made and that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            fs, there = file_system(df.sparkSession, folder)
+            fs.delete(there, True)
+
+
+#: Rows of an Arrow batch for long texts, so that a worker's memory doesn't follow the usual 10,000.
+BATCH_ROWS = 256
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Lets Spark send long texts to Python workers in small batches, so that a worker's memory doesn't follow the usual 10,000 rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows or fewer. The setting stays: it is read when a lazy result is run, long after the operator's call, and every Python operator of this package wants it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def pack(df: DataFrame, *columns: str, **more: Column) -> DataFrame:

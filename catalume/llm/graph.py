@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while True:
-        edges = materialize(_star(_star(edges, large=True), large=False), "links")
+        old, edges = edges, materialize(_star(_star(edges, large=True), large=False), "links")
+        discard(old)
         after = mark(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,7 +2,7 @@
 
 Each word has affix, character n-gram and lexicon features; learned transitions join the labels of neighbouring words, so
 that code-switched text gets a label for each word. Word posteriors come from forward-backward; a document's language is
-that with the largest sum of posteriors. The model is fitted on the driver from a bounded sample of labelled lines and
+that with the largest sum of posteriors. The model is fitted on the driver from a bounded sample of labelled passages and
 sent to the executors.
 """
 
@@ -17,15 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pack, small_batches
+from .common import let, pack, small_batches
 
-#: The sample: documents a language, lines a document (both chosen by hash) and words a line at most.
-SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_WORDS = 250, 4, 60
-#: Parts of a language in which documents are ranked, so that none meets in one task.
-SALTS = 64
+#: The sample, of passages: each text is cut into passages of SAMPLE_WORDS words; of each language so many documents, and of each of them so many passages, both from anywhere by hash. Passages of more characters are none.
+SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_WORDS, SAMPLE_CHARACTERS = 150, 4, 60, 2000
+#: Languages that a model can have; with more values in lang, fitting is an error.
+LANGUAGES = 1000
+#: Parts of a language in which documents are ranked, one level after another, so that few meet in one task.
+SALTS = (64, 8, 1)
 #: Features kept (the most frequent), lexicon words, rounds of training, step size, and the weight of the penalty.
-FEATURES, LEXICON, ROUNDS, STEP, PENALTY = 20_000, 4_000, 60, 0.3, 1e-4
-#: Lines that are joined to one training chain, so that transitions between languages are seen.
+FEATURES, LEXICON, ROUNDS, STEP, PENALTY = 20_000, 4_000, 20, 0.3, 1e-4
+#: Passages that are joined to one training chain, so that transitions between languages are seen.
 CHAIN = 6
 #: Words of a block in the vectorised forward-backward, words that are scored at once, and words a worker remembers.
 BLOCK, BATCH, MEMO = 32, 200_000, 200_000
@@ -114,7 +116,7 @@ def fit(lines: list[tuple[str, str]]) -> dict:
     words: dict[str, int] = {}
     tokens, gold, starts = [], [], []
     for i, (text, lang) in enumerate(lines):
-        found = words_of(text)[:SAMPLE_WORDS]
+        found = words_of(text)
         starts += [i % CHAIN == 0 and j == 0 for j in range(len(found))]
         tokens += [words.setdefault(w, len(words)) for w in found]
         gold += [labels.index(lang)] * len(found)
@@ -133,19 +135,16 @@ def fit(lines: list[tuple[str, str]]) -> dict:
     kept = [f for f in by_count if f[0] != "="][:FEATURES] + [f for f in by_count if f[0] == "=" and counts[f] > 1][:LEXICON]
     index = {f: i for i, f in enumerate(kept)}
     rows, columns = _feature_matrix(list(words), index)
+    added = lambda to, values, size: np.stack([np.bincount(to, v, size) for v in values.T], axis=1)  # noqa: E731  sums of the values' rows by number
     weights, transition, initial = np.zeros((len(index), k)), np.zeros((k, k)), np.zeros(k)
     squares = [np.full_like(x, 1e-8) for x in (weights, transition, initial)]
     goal = np.eye(k)[gold]
     inner = np.flatnonzero(~starts)
     for _ in range(ROUNDS):
-        scores = np.zeros((len(words), k))
-        np.add.at(scores, rows, weights[columns])
-        emission = scores[tokens]
-        post, pairs = forward_backward(emission, starts, transition, initial)
-        by_word = np.zeros((len(words), k))
-        np.add.at(by_word, tokens, goal - post)
-        gradient = np.zeros_like(weights)
-        np.add.at(gradient, columns, by_word[rows])
+        scores = added(rows, weights[columns], len(words))
+        post, pairs = forward_backward(scores[tokens], starts, transition, initial)
+        by_word = added(tokens, goal - post, len(words))
+        gradient = added(columns, by_word[rows], len(index))
         on_pairs = np.einsum("ni,nj->ij", goal[inner - 1], goal[inner]) - pairs[inner].sum(axis=0)
         on_first = (goal - post)[starts].sum(axis=0)
         for x, g, q in zip((weights, transition, initial), (gradient, on_pairs, on_first), squares):
@@ -218,24 +217,38 @@ def held_out(doc_id):
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
-def train(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> dict:
+def passages(text, words: int = SAMPLE_WORDS):
+    """An array of the passages of a text, ``words`` words each, without those that are too long or have no letter."""
+    every = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    cut = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(ws, i * words + 1, words), " "))
+    made = let(every, lambda ws: F.when(F.size(ws) > 0, cut(ws)))
+    return F.filter(made, lambda p: (F.length(p) <= SAMPLE_CHARACTERS) & F.regexp_like(p, F.lit(r"\p{L}")))
+
+
+def train(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, passages_a_doc: int = SAMPLE_PASSAGES) -> dict:
     """The model of the documents (doc_id, text, lang) that are not held out and have a language and text.
 
     The sample is bounded: of each language the ``docs_a_language`` documents with the smallest hashes, of each of these the
-    ``lines`` lines with the smallest hashes, of each line SAMPLE_WORDS words. Lines come in the order of their hashes,
-    which mixes languages. An empty sample gives a model without labels, which finds every text unknown.
+    ``passages_a_doc`` passages with the smallest hashes, wherever they stand in it. Passages come in the order of their
+    hashes, which mixes languages. An empty sample gives a model without labels, which finds every text unknown; more than
+    LANGUAGES languages are an error. Only narrow rows are ranked; then the sampled texts alone are read.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("__hash"))
-    # narrow rows are ranked in SALTS parts of each language, then the parts' first ones; only texts up to a language's last hash go further
-    ranked = lambda df, *by: df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy("__hash"))).where(F.col("__rank") <= docs_a_language)
-    first = ranked(rows.select("lang", "__hash", F.pmod(F.xxhash64("__hash"), F.lit(SALTS)).alias("__salt")), "lang", "__salt")
-    cuts = ranked(first, "lang").groupBy("lang").agg(F.max("__hash").alias("__cut"))
-    few = rows.join(F.broadcast(cuts), "lang").where("__hash <= __cut")  # a row a language
-    hashed = F.transform(F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"\p{L}"))), lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(x, 1, SAMPLE_WORDS * 20).alias("line")))
-    few = few.select("lang", F.explode_outer(F.slice(F.sort_array(hashed), 1, lines)).alias("x")).where("x IS NOT NULL")
-    sample = few.select("x.h", "x.line", "lang").collect()  # docs_a_language * lines rows a language, but for rows that repeat a doc_id
-    return fit([(r["line"], r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["lang"], r["line"]))])
+    first = rows.select("lang", "__hash")
+    for salts in SALTS:
+        order = Window.partitionBy("lang", F.pmod(F.xxhash64("__hash"), F.lit(salts))).orderBy("__hash")
+        first = first.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= docs_a_language).drop("__rank")
+    cuts = first.groupBy("lang").agg(F.max("__hash")).limit(LANGUAGES + 1).collect()  # a row a language
+    if len(cuts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
+    if not cuts:
+        return fit([])
+    cut = F.create_map(*(F.lit(x) for r in cuts for x in r))[F.col("lang")]
+    hashed = F.transform(passages(F.col("text")), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("passage")))
+    few = rows.where(F.col("__hash") <= cut).select("lang", F.explode(F.slice(F.sort_array(hashed), 1, passages_a_doc)).alias("x"))
+    sample = few.select("x.h", "x.passage", "lang").collect()  # docs_a_language * passages_a_doc rows a language, but for rows that repeat a doc_id
+    return fit([(r["passage"], r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["lang"], r["passage"]))])
 
 
 def label_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

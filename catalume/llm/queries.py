@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, langid, license_scan, media, mixing, pii, quality, sharding, simhash, warc
 from .common import documents
 
 #: The tokenizer that op3 encodes with; the file is read by the driver and sent to the executors.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
