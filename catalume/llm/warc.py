@@ -4,7 +4,8 @@ Writing: one record a page; a payload that stands elsewhere already becomes a re
 record and continuation records (WARC segments) of at most ``chunk_bytes``. Spark's text writer puts the records into
 the archives, Spark's text reader finds them again by the bytes that begin a record, so neither needs a file system that
 Python can open. Reading gives a chunk table, rows of record and chunk number; the digest of a payload in several chunks
-is carried from chunk to chunk, so that no task holds a whole oversized payload.
+is carried from chunk to chunk, so that no task holds a whole oversized payload. (A page to be archived is one row of its
+table, so that the writing task reads it whole; its chunks are cut from it once.)
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import materialize, new_path, until_exit
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -29,22 +31,32 @@ LEAST = 1000
 CHUNK = 1 << 16
 
 
+#: Parts in which the pages of one payload are told their response.
+SALTS = 16
+
+
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to (null: a response) for each page.
+    """page_id, url, html (null for a revisit), payload_bytes, payload_digest, refers_to (null: a response) for each page.
 
     Of equal payloads of at least ``least`` bytes the one with the largest page_id is the response; rows that repeat that
-    page_id are responses too. A null page_id refers to the largest other one. A null html is an empty payload.
+    page_id are responses too. A null page_id refers to the largest other one. A null html is an empty payload. Payloads are
+    equal if length and SHA-1 are. Which page is which is found on rows without payloads, a popular payload's in SALTS parts;
+    payloads are exchanged once, each but once from a task, and shorter ones stay where they are.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", "html", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
-    held = (
-        rows.where(F.col("payload_bytes") >= least)
-        .groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("__held"), F.count(F.lit(1)).alias("__n"))
-        .where("__n > 1")
-        .drop("__n")
-    )
-    return rows.join(held, ["payload_digest", "payload_bytes"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("__held")), F.col("__held"))).drop("__held")
+    size, digest = F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest")
+    same = ["payload_digest", "payload_bytes"]
+    short = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) < least).select("page_id", "url", "html", size, digest, F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
+    long = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
+    narrow = materialize(long.select("page_id", "url", size, digest), "narrow")
+    held = narrow.groupBy(*same).agg(F.max("page_id").alias("__held"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    held = held.select(*same, "__held", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    told = narrow.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(held, [*same, "__salt"], "left")
+    told = materialize(told.select("page_id", "url", *same, F.when(~F.col("page_id").eqNullSafe(F.col("__held")), F.col("__held")).alias("refers_to")), "told")
+    bodies = long.select("html", size, digest).groupBy(*same).agg(F.first("html").alias("html"))
+    responses = told.where("refers_to IS NULL").join(bodies, same).select("page_id", "url", "html", *reversed(same), "refers_to")
+    revisits = told.where("refers_to IS NOT NULL").select("page_id", "url", F.lit(None).cast("string").alias("html"), *reversed(same), "refers_to")
+    return short.unionByName(responses).unionByName(revisits)
 
 
 def segments(html: Column, chunk_bytes: int) -> Column:
@@ -58,11 +70,9 @@ def segments(html: Column, chunk_bytes: int) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, chunk_bytes: int = CHUNK, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes a WARC record for each page into gzip archives under ``path``. Columns other than page_id, url and html are not archived."""
-    planned = plan_records(pages, least)
-    rows = planned.withColumn("__id", F.uuid()).select(
-        "*", F.posexplode_outer(F.when(F.col("refers_to").isNull(), segments(F.col("html"), chunk_bytes)).otherwise(F.array(F.lit(b"")))).alias("__no", "__data"), F.when(F.col("refers_to").isNull(), F.size(segments(F.col("html"), chunk_bytes))).otherwise(1).alias("__of")
-    )
+    """Writes a WARC record for each page into gzip archives under ``path``: one gzip stream a file, so that a file is read from its start. Columns other than page_id, url and html are not archived, whatever their names; an empty table gives archives without records."""
+    planned = plan_records(pages, least).select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", F.uuid().alias("__id"), segments(F.col("html"), chunk_bytes).alias("__segments"))
+    rows = planned.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "__id", F.size("__segments").alias("__of"), F.posexplode("__segments").alias("__no", "__data"))
     name = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     line = lambda key, value: F.coalesce(F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))  # noqa: E731  a null value leaves the line out
     first, revisit = F.col("__no") == 0, F.col("refers_to").isNotNull()
@@ -112,67 +122,63 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-DIGESTS = "record_id string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, declared_digest string"
+DIGESTS = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("declared_digest", pa.string())])
 
 
 def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Length and SHA-1 of each record, chunk by chunk; the chunks of a record come one after another, in order, perhaps over several batches."""
-    names = [c.split()[0] for c in DIGESTS.split(", ")]
+    """Length and SHA-1 of each record, chunk by chunk; the chunks of a record come one after another, in order, perhaps over several batches. Records of one piece have theirs and go through."""
     now, digest, size, due = None, None, 0, 0
 
-    def done(rows):
-        rows.append((now["record_id"], now["page_id"], now["record_type"], now["refers_to"], size, digest.hexdigest(), now["declared_digest"]))
-
-    def packed(rows):
-        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+    def done():
+        return now | {"payload_bytes": size, "payload_digest": digest.hexdigest()}
 
     for batch in batches:
-        rows = []
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i] for c in ("record_id", "chunk_no", "page_id", "record_type", "refers_to", "declared_digest")}
-            row = {c: v.as_py() for c, v in row.items()}
+        whole = batch.filter(pc.invert(batch.column("chunked")))
+        yield pa.RecordBatch.from_arrays([whole.column(c) for c in DIGESTS.names], schema=DIGESTS)
+        pieces, rows = batch.filter(batch.column("chunked")), []
+        for i in range(pieces.num_rows):
+            row = {c: pieces.column(c)[i].as_py() for c in (*DIGESTS.names, "chunk_no")}
             if now is None or row["record_id"] != now["record_id"]:
                 if now is not None:
-                    done(rows)
+                    rows.append(done())
                 now, digest, size, due = row, hashlib.sha1(), 0, 1
             if row["chunk_no"] != due:
                 raise ValueError(f"chunk {due} of {row['record_id']} is missing")
-            data = batch.column("data")[i].as_buffer()
+            data = pieces.column("data")[i].as_buffer()
             digest.update(data)
             size, due = size + data.size, due + 1
         if rows:
-            yield packed(rows)
+            yield pa.RecordBatch.from_pylist(rows, DIGESTS)
     if now is not None:
-        last: list = []
-        done(last)
-        yield packed(last)
+        yield pa.RecordBatch.from_pylist([done()], DIGESTS)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row a record of the archives under ``path``: record_id, page_id, record_type, refers_to, payload_bytes, payload_digest.
 
     Length and digest of a response are computed from its chunks and must match what it declares (else an error); a
-    revisit has those of the payload that it refers to.
+    revisit has those of the payload that it refers to. The archives are read once; of records in one piece only what has
+    been computed is exchanged, of others the chunks.
     """
     chunks = read_chunks(spark, path)
-    plain = chunks.where("NOT chunked").select(
-        "record_id", "page_id", "record_type", "refers_to",
-        F.when(F.col("record_type") == "revisit", F.col("declared_bytes")).otherwise(F.octet_length("data").cast("long")).alias("payload_bytes"),
-        F.when(F.col("record_type") == "revisit", F.col("declared_digest")).otherwise(F.sha1("data")).alias("payload_digest"),
-        "declared_digest",
+    revisit = F.col("record_type") == "revisit"
+    rows = chunks.select(
+        "record_id", "chunk_no", "chunked", "page_id", "record_type", "refers_to",
+        F.when(revisit, F.col("declared_bytes")).when(~F.col("chunked"), F.octet_length("data").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("declared_digest")).when(~F.col("chunked"), F.sha1("data")).alias("payload_digest"),
+        "declared_digest", F.when(F.col("chunked"), F.col("data")).alias("data"),
     )
-    parts = chunks.where("chunked").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    rows = plain.unionByName(parts.mapInArrow(_carry, DIGESTS))
+    kinds = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in DIGESTS)
+    rows = rows.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(_carry, kinds)
     ok = F.when(F.col("payload_digest") == F.col("declared_digest"), F.col("payload_digest"))
     return rows.withColumn("payload_digest", ok.otherwise(F.raise_error(F.concat(F.lit("wrong digest: "), F.col("record_id"))).cast("string"))).drop("declared_digest")
 
 
 def op9_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read again."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read again. An empty table gives no rows."""
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(spark, until_exit(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB SQL for `op9_warc`.

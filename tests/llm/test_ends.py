@@ -14,3 +14,13 @@ def test_version_at_an_end(spark, tmp_path, html):
     found = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read_records(spark, f"{tmp_path}/w").collect()}
     raw = (html or "").encode()
     assert found == {1: (len(raw), hashlib.sha1(raw).hexdigest()), 2: (5, hashlib.sha1(b"plain").hexdigest())}
+
+
+def test_popular_payload(spark, tmp_path, none):
+    """Many pages of one payload, null and repeated ids, and columns whose names operators use."""
+    body = "<p>" + "popular " * 200
+    rows = [(i, f"http://a.example/{i}", body, "x") for i in range(200)] + [(199, "http://b.example/", body, "y"), (None, None, body, "z"), (None, "u", "short", None), (7, None, "é" * 700, "w")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string")
+    found = [tuple(r) for r in warc.op9_warc(spark, pages).select("page_id", "payload_bytes", "record_type", "refers_to").collect()]
+    wanted = [(i, len(body), "revisit", 199) for i in range(199)] + [(199, len(body), "response", None)] * 2 + [(None, len(body), "revisit", 199), (None, 5, "response", None), (7, 1400, "response", None)]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
