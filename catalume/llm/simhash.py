@@ -28,8 +28,8 @@ BLOCK = 1 << 15
 COPY_SHINGLE, COPY_SIMILARITY = 5, 80
 #: Their candidates: tables, minima that a table joins (a pair of 0.8 meets in one of 16 tables with a chance of 1 - 2e-5), shingles minimised at once.
 TABLES, MINIMA, MIN_BLOCK = 16, 3, 1 << 10
-#: In each bucket of a table a text is compared with so many before it.
-NEIGHBOURS = 8
+#: Texts of a bucket of which all pairs are compared; in a larger one each is compared with the bucket's leader.
+SMALL = 9
 
 
 def signed(x: int) -> int:
@@ -138,48 +138,100 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     return printed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def copy_candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs u > v of ``nodes`` (text_key, fingerprint, buckets) that may be near copies, each once.
-
-    Those that op6's links join, and in each bucket of a MinHash table each text with the bucket's first and the
-    NEIGHBOURS before it, in the order of the next two tables' buckets, so that the most alike stand together. A bucket of
-    up to NEIGHBOURS + 1 texts thus gives all its pairs, a larger one a number of pairs in proportion to its texts.
-    """
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs u, v of ``nodes`` (text_key, fingerprint) that op6's links join."""
     prints = materialize(nodes.groupBy("fingerprint").agg(F.min("text_key").alias("first")), "prints")
     same = nodes.join(prints, "fingerprint").select(F.col("text_key").alias("u"), F.col("first").alias("v"))
     firsts = lambda name: prints.select(F.col("fingerprint").alias(name), F.col("first").alias(f"first_{name}"))
     near = near_links(prints.select("fingerprint")).join(firsts("u"), "u").join(firsts("v"), "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
-    following = lambda k: F.get("buckets", (F.col("table") + k) % TABLES)
-    tables = nodes.select("text_key", "buckets", F.posexplode("buckets").alias("table", "bucket")).select("text_key", "table", "bucket", following(1).alias("next"), following(2).alias("after"))
-    crowded = tables.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    order = Window.partitionBy("table", "bucket").orderBy("next", "after", "text_key")
-    before = F.concat(F.array(F.first("text_key").over(order)), F.collect_list("text_key").over(order.rowsBetween(-NEIGHBOURS, -1)))
-    met = tables.join(crowded, ["table", "bucket"]).select(F.col("text_key").alias("u"), before.alias("before")).select("u", F.explode("before").alias("v"))
-    pairs = same.unionByName(near).unionByName(met).where("u <> v")
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return same.unionByName(near)
+
 
+def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs u, v of the texts that meet in a bucket of up to SMALL of ``rows`` (text_key, table, bucket), and stars of larger ones: text_key, table and the bucket's leader.
 
-def copy_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose ``texts`` (text_key, text) have a Jaccard similarity of their five-word shingles of COPY_SIMILARITY hundredths or more, from the whole sets."""
+    The leader is the text whose buckets are the fullest over all tables: in a group of texts that were made from one by
+    small changes that is the one that lies in their midst.
+    """
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(rows.join(sizes, "bucket"), "met")
+    keys = met.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list("text_key")).alias("keys"))
+    every = F.flatten(F.transform("keys", lambda v, i: F.transform(F.slice("keys", i + 2, SMALL), lambda u: F.struct(u.alias("u"), v.alias("v")))))
+    large = met.where(F.col("n") > SMALL)
+    midst = large.join(large.groupBy("text_key").agg(F.sum("n").alias("score")), "text_key").groupBy("bucket").agg(F.max(F.struct("score", "text_key"))["text_key"].alias("leader"))
+    stars = materialize(large.join(midst, "bucket").where("text_key <> leader").select("text_key", "table", "leader"), "stars")
+    return keys.select(F.explode(every).alias("p")).select("p.u", "p.v"), stars
+
+
+def with_sets(sets: DataFrame | None, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``sets`` (text_key, set) and the shingle sets of the other texts of ``pairs``. ``nodes`` (text_key, name) names one row of each text among ``texts`` (text_key, name, text), so that copies stay where they are."""
     used = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
-    once = texts.join(used, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = materialize(once.select("text_key", F.pandas_udf(_sets, "array<long>")("text").alias("set")), "sets")
+    used = used if sets is None else used.join(sets, "text_key", "left_anti")
+    once = texts.join(nodes.join(used, "text_key", "left_semi").select("text_key", "name"), ["text_key", "name"], "left_semi").dropDuplicates(["text_key"])
+    more = once.select("text_key", F.pandas_udf(_sets, "array<long>")("text").alias("set"))
+    return materialize(more if sets is None else sets.unionByName(more), "sets")
+
+
+def copy_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose ``sets`` (text_key, set) have a Jaccard similarity of COPY_SIMILARITY hundredths or more."""
     side = lambda name: sets.select(F.col("text_key").alias(name), F.col("set").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     alike = let(both, lambda n: 100 * n >= COPY_SIMILARITY * (F.size("set_u") + F.size("set_v") - n))
     return pairs.join(side("u"), "u").join(side("v"), "v").where(alike).select("u", "v")
 
 
+def copy_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_key, root for the texts of ``nodes`` (text_key, name, fingerprint, buckets) that have a near copy; equal roots mean that links of COPY_SIMILARITY hundredths or more connect them.
+
+    Candidates are the pairs that op6's links join and those that meet in a MinHash table. In buckets of more than SMALL
+    texts each is compared with the leader. Those that then stand in no group with their leader go on, in buckets of twice
+    as many tables joined, with other leaders, until all are with theirs or in small buckets; each round compares as many
+    pairs as it has rows. All pairs are checked on whole shingle sets.
+    """
+    rows = nodes.select("text_key", "buckets", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("table")).where(F.size("buckets") > 0)
+    sets = found = None
+    joined = 1
+    while True:
+        named = F.xxhash64("table", *(F.get("buckets", (F.col("table") + k) % TABLES) for k in range(joined)))
+        pairs, stars = bucket_pairs(rows.select("text_key", "table", named.alias("bucket")))
+        pairs = pairs.unionByName(stars.select(F.col("text_key").alias("u"), F.col("leader").alias("v")))
+        pairs = pairs.unionByName(print_pairs(nodes.select("text_key", "fingerprint"))) if found is None else pairs
+        pairs = materialize(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+        sets = with_sets(sets, pairs, nodes, texts)
+        links = copy_links(pairs, sets)
+        found = components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        joined *= 2
+        if joined > TABLES:
+            break
+        root = lambda name: found.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        apart = stars.join(root("text_key"), "text_key", "left").join(root("leader"), "leader", "left")
+        apart = apart.where(F.coalesce("root_text_key", "text_key") != F.coalesce("root_leader", "leader"))
+        rows = materialize(apart.select("text_key", "table").join(nodes.select("text_key", "buckets"), "text_key"), "apart")
+        if rows.isEmpty():
+            break
+    return found.select(F.col("node").alias("text_key"), "root")
+
+
+def text_names(docs: DataFrame) -> tuple[Column, Column]:
+    """A text's key, and a row's name among those with equal texts."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("name")
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of ``docs`` (doc_id, text and others) that five-word Jaccard similarities of COPY_SIMILARITY hundredths or more connect: the row that drop_near_copies would choose."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = with_fingerprint(docs.select("doc_id", "text", key.alias("text_key")))
-    printed = materialize(rows.withColumn("buckets", F.pandas_udf(_buckets, "array<long>").asNondeterministic()("text")).drop("text"), "fingerprints")
-    nodes = materialize(printed.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets")), "nodes")
-    pairs = materialize(copy_candidates(nodes), "pairs")
-    roots = components(copy_links(pairs, docs.select(key.alias("text_key"), "text"))).select(F.col("node").alias("text_key"), "root")
-    rooted = printed.select("doc_id", "text_key").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    return one_row_each(docs, key, least_rows(rooted))
+    """One row of each group of ``docs`` (doc_id, text and others) that five-word Jaccard similarities of COPY_SIMILARITY hundredths or more connect: the row that drop_near_copies would choose.
+
+    Null and empty texts and those without words are near copies of each other; shorter ones than a shingle have all their
+    words for one. An empty table stays empty; other columns stay as they are, whatever their names.
+    """
+    key, name = text_names(docs)
+    texts = docs.select(key, name, "text")
+    rows = with_fingerprint(docs.select("doc_id", "text", key, name))
+    printed = rows.withColumn("buckets", F.pandas_udf(_buckets, "array<long>").asNondeterministic()("text")).drop("text")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("head")
+    nodes = materialize(materialize(printed, "fingerprints").groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"), least), "nodes")
+    roots = copy_roots(nodes.select("text_key", "head.name", "fingerprint", "buckets"), texts)
+    rooted = nodes.select("text_key", "head.*").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    return one_row_each(docs, least_rows(rooted))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -187,23 +239,22 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so that null doc_ids and one that stands by several texts are fine.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    printed = materialize(with_fingerprint(docs.select("doc_id", "text", key.alias("text_key"))).drop("text"), "fingerprints")
+    key, name = text_names(docs)
+    printed = materialize(with_fingerprint(docs.select("doc_id", "text", key, name)).drop("text"), "fingerprints")
     roots = near_roots(materialize(printed.select("fingerprint").distinct(), "nodes"))
-    return one_row_each(docs, key, least_rows(printed.join(roots, "fingerprint")))
+    return one_row_each(docs, least_rows(printed.withColumn("none", F.col("doc_id").isNull()).join(roots, "fingerprint")))
 
 
 def least_rows(rooted: DataFrame) -> DataFrame:
-    """doc_id, text_key of the row with the smallest doc_id of each root of ``rooted`` (doc_id, text_key, root)."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("head")
-    return rooted.groupBy("root").agg(least).select("head.doc_id", "head.text_key")
+    """text_key, name of the row with the smallest doc_id of each root of ``rooted`` (none, doc_id, name, text_key, root)."""
+    return rooted.groupBy("root").agg(F.min(F.struct("none", "doc_id", "text_key", "name")).alias("head")).select("head.text_key", "head.name")
 
 
-def one_row_each(docs: DataFrame, key: Column, heads: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each of ``heads`` (doc_id, text_key), where ``key`` is a row's text_key."""
-    heads = heads.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    rows = pack(docs, doc_id=F.col("doc_id"), text_key=key).join(heads, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("text_key", "doc_id").orderBy(F.lit(0)))
+def one_row_each(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``heads`` (text_key, name)."""
+    key, name = text_names(docs)
+    rows = pack(docs, text_key=key, name=name).join(heads, ["text_key", "name"], "left_semi")
+    number = F.row_number().over(Window.partitionBy("text_key", "name").orderBy(F.lit(0)))
     return rows.withColumn("number", number).where("number = 1").select("row.*")
 
 

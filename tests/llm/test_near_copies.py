@@ -51,6 +51,37 @@ def test_pairs_of_four_fifths(spark, none):
     assert stage(spark, none, "").count() == 0
 
 
+def groups(texts):
+    """The smallest number of each text's group by five-word Jaccard similarity of 0.8, by brute force."""
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    sets, root = [shingles(t) for t in texts], [*range(len(texts))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_large_groups(spark):
+    """150 copies of one text that are alike only through it, and 150 texts that share half of their words with each other."""
+    draw = random.Random(9)
+    word = lambda: f"w{draw.randrange(100_000)}"
+    base, passage = [word() for _ in range(200)], [word() for _ in range(60)]
+    texts = []
+    for i in range(150):
+        now = [*base]
+        for place in draw.sample(range(5, 195), 3 + i % 2):
+            now[place] = word()
+        texts += [" ".join(now), " ".join(passage + [word() for _ in range(60)])]
+    texts.append(" ".join(base))
+    draw.shuffle(texts)
+    wanted = {min(i for i, r in enumerate(root) if r == g) for root in [groups(texts)] for g in root}
+    assert 150 < len(wanted) < 170
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"] for r in simhash.drop_copies(df).collect()} == wanted
+
+
 def test_stage_on_ids(spark):
     rows = [(7, SOUP), (7, BIRD), (9, SOUP), (None, "one two"), (None, "three four"), (None, ""), (8, None)]
     df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
