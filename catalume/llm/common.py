@@ -39,7 +39,7 @@ def until_exit(spark: SparkSession, path: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: it cuts the lineage, and a lost executor loses nothing. The folder goes when the driver ends, or earlier by `discard`."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
 
 

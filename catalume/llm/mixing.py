@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize, pack
+from .common import SPACES, discard, materialize, pack
 
 #: Weights and slopes that the sources have in turn, in order of their names: a slope of 0.5 lets a source's demand rise from 0.5 to 1.5 times its mean.
 WEIGHTS = (3, 1, 2)
@@ -92,6 +92,7 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS) -> DataFr
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("__key")), "sizes")
     placed = curriculum(sized, share, repeats).where(F.size("positions") > 0).select("__key", "positions")
     placed = materialize(placed.withColumn("__number", number), "positions")
+    discard(sized)
     rows = pack(docs, __key=key).withColumn("__row", number)
     # the difference, and no equality, keeps the number out of the join's keys: both sides are already dealt by __key
     rows = rows.join(placed, "__key").where(F.col("__row") - F.col("__number") == 0)
@@ -103,6 +104,7 @@ def op4_mixing(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document, and the first training position of those taken (else null); the rows are sorted by it."""
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     placed = materialize(curriculum(sized), "curriculum")
+    discard(sized)
     out = placed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
     return out.repartitionByRange(F.asc_nulls_last("first_position"), "doc_id").sortWithinPartitions(F.asc_nulls_last("first_position"), "doc_id")
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, pack, running
+from .common import discard, let, materialize, pack, running
 
 #: The kinds in order, and their patterns. Possessive groups and what stands before a run only keep Java's matcher from running long or deep; the matches are the same.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -114,7 +114,7 @@ def occurrences(text: Column, marks: Column) -> Column:
 
 
 def disclosing(texts: DataFrame) -> DataFrame:
-    """key, term, share for the terms of each of the different ``texts`` (key, terms, entities) that exceed the disclosure threshold for one of its entities.
+    """key, marks (structs term, share) for each of the different ``texts`` (key, terms, entities) with terms that exceed the disclosure threshold for one of its entities.
 
     share = log2(N * both / (df(entity) * df(term))) / log2(N / df(entity)), with counts over all texts. An entity of a
     single text has every term of that text with it, so that only the others' pairs with terms are made and counted; the
@@ -126,7 +126,7 @@ def disclosing(texts: DataFrame) -> DataFrame:
     counted = owners.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     often = float(counted.agg(F.max("of_entity")).first()[0] or 0)
     most = total ** (1 - GENERALISE) * often**GENERALISE * (1 + 1e-9)
-    terms = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).where(F.col("of_term") <= most)
+    terms = materialize(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).where(F.col("of_term") <= most), "terms")
     shared = materialize(counted.where("of_entity > 1"), "entities")
     known = owners.join(shared, "entity", "left")
     single = known.where("of_entity IS NULL").select("key").distinct()
@@ -142,7 +142,10 @@ def disclosing(texts: DataFrame) -> DataFrame:
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     rated = both.join(terms, "term").join(shared, "entity").select("entity", "term", share(F.col("both"), F.col("of_entity")).alias("share")).where(F.col("share") >= GENERALISE)
     rows = alone.where(F.col("share") >= GENERALISE).unionByName(pairs.join(rated, ["entity", "term"]).select("key", "term", "share"))
-    return rows.groupBy("key", "term").agg(F.max("share").alias("share"))
+    rows = rows.groupBy("key", "term").agg(F.max("share").alias("share"))
+    marks = materialize(rows.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("marks")), "marks")
+    discard(terms, shared)
+    return marks
 
 
 def find_personal(docs: DataFrame, *columns: str) -> DataFrame:
@@ -158,7 +161,8 @@ def find_personal(docs: DataFrame, *columns: str) -> DataFrame:
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     rows = materialize(rows.select("row", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), entities.alias("entities"), term_hashes(F.col("text")).alias("terms")), "spans")
     texts = materialize(rows.groupBy("key").agg(F.first("terms").alias("terms"), F.first("entities").alias("entities")), "texts")
-    marks = disclosing(texts).groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("marks"))
+    marks = disclosing(texts)
+    discard(texts)
     none = F.array().cast(TERMS)
     held = rows.where("text IS NOT NULL").select("row", "key", "base", "text").join(marks, "key", "left")
     held = held.select("row", "base", F.when(F.col("marks").isNotNull(), occurrences(F.col("text"), F.col("marks"))).otherwise(none).alias("terms"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, pack, small_batches
+from .common import discard, let, materialize, pack, small_batches
 from .graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -153,14 +153,18 @@ def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     The leader is the text whose buckets are the fullest over all tables: in a group of texts that were made from one by
     small changes that is the one that lies in their midst.
     """
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # what is joined is written first: an aggregation beside a join keeps Spark from splitting a full bucket
+    sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     met = materialize(rows.join(sizes, "bucket"), "met")
     keys = met.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list("text_key")).alias("keys"))
     every = F.flatten(F.transform("keys", lambda v, i: F.transform(F.slice("keys", i + 2, SMALL), lambda u: F.struct(u.alias("u"), v.alias("v")))))
+    small = materialize(keys.select(F.explode(every).alias("p")).select("p.u", "p.v"), "small")
     large = met.where(F.col("n") > SMALL)
-    midst = large.join(large.groupBy("text_key").agg(F.sum("n").alias("score")), "text_key").groupBy("bucket").agg(F.max(F.struct("score", "text_key"))["text_key"].alias("leader"))
+    fullest = F.max(F.struct("score", "text_key"))["text_key"].alias("leader")
+    midst = materialize(large.join(large.groupBy("text_key").agg(F.sum("n").alias("score")), "text_key").groupBy("bucket").agg(fullest), "leaders")
     stars = materialize(large.join(midst, "bucket").where("text_key <> leader").select("text_key", "table", "leader"), "stars")
-    return keys.select(F.explode(every).alias("p")).select("p.u", "p.v"), stars
+    discard(sizes, met, midst)
+    return small, stars
 
 
 def with_sets(sets: DataFrame | None, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,8 +172,8 @@ def with_sets(sets: DataFrame | None, pairs: DataFrame, nodes: DataFrame, texts:
     used = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
     used = used if sets is None else used.join(sets, "text_key", "left_anti")
     once = texts.join(nodes.join(used, "text_key", "left_semi").select("text_key", "name"), ["text_key", "name"], "left_semi").dropDuplicates(["text_key"])
-    more = once.select("text_key", F.pandas_udf(_sets, "array<long>")("text").alias("set"))
-    return materialize(more if sets is None else sets.unionByName(more), "sets")
+    more = materialize(once.select("text_key", F.pandas_udf(_sets, "array<long>")("text").alias("set")), "sets")
+    return more if sets is None else sets.unionByName(more)
 
 
 def copy_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,13 +197,14 @@ def copy_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     joined = 1
     while True:
         named = F.xxhash64("table", *(F.get("buckets", (F.col("table") + k) % TABLES) for k in range(joined)))
-        pairs, stars = bucket_pairs(rows.select("text_key", "table", named.alias("bucket")))
-        pairs = pairs.unionByName(stars.select(F.col("text_key").alias("u"), F.col("leader").alias("v")))
+        small, stars = bucket_pairs(rows.select("text_key", "table", named.alias("bucket")))
+        pairs = small.unionByName(stars.select(F.col("text_key").alias("u"), F.col("leader").alias("v")))
         pairs = pairs.unionByName(print_pairs(nodes.select("text_key", "fingerprint"))) if found is None else pairs
         pairs = materialize(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
         sets = with_sets(sets, pairs, nodes, texts)
         links = copy_links(pairs, sets)
-        found = components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        old, found = found, components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        discard(small, pairs, *([old] if old is not None else []))
         joined *= 2
         if joined > TABLES:
             break
@@ -207,8 +212,10 @@ def copy_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         apart = stars.join(root("text_key"), "text_key", "left").join(root("leader"), "leader", "left")
         apart = apart.where(F.coalesce("root_text_key", "text_key") != F.coalesce("root_leader", "leader"))
         rows = materialize(apart.select("text_key", "table").join(nodes.select("text_key", "buckets"), "text_key"), "apart")
+        discard(stars)
         if rows.isEmpty():
             break
+    discard(sets)
     return found.select(F.col("node").alias("text_key"), "root")
 
 
@@ -228,7 +235,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     rows = with_fingerprint(docs.select("doc_id", "text", key, name))
     printed = rows.withColumn("buckets", F.pandas_udf(_buckets, "array<long>").asNondeterministic()("text")).drop("text")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("head")
-    nodes = materialize(materialize(printed, "fingerprints").groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"), least), "nodes")
+    printed = materialize(printed, "fingerprints")
+    nodes = materialize(printed.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"), least), "nodes")
+    discard(printed)
     roots = copy_roots(nodes.select("text_key", "head.name", "fingerprint", "buckets"), texts)
     rooted = nodes.select("text_key", "head.*").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     return one_row_each(docs, least_rows(rooted))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, until_exit
+from .common import discard, materialize, new_path, until_exit
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -53,6 +53,7 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     held = held.select(*same, "__held", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     told = narrow.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(held, [*same, "__salt"], "left")
     told = materialize(told.select("page_id", "url", *same, F.when(~F.col("page_id").eqNullSafe(F.col("__held")), F.col("__held")).alias("refers_to")), "told")
+    discard(narrow)
     bodies = long.select("html", size, digest).groupBy(*same).agg(F.first("html").alias("html"))
     responses = told.where("refers_to IS NULL").join(bodies, same).select("page_id", "url", "html", *reversed(same), "refers_to")
     revisits = told.where("refers_to IS NOT NULL").select("page_id", "url", F.lit(None).cast("string").alias("html"), *reversed(same), "refers_to")
