@@ -59,8 +59,8 @@ def wide_to_long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def long_to_wide(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """A column of sorted `phrase:code` lists for each of the given tag columns."""
-    cell = F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "phrase", "code"))), ", ")
+    """A column of sorted `phrase:code` lists for each of the given tag columns; null where a key has no entry."""
+    cell = F.when(F.count(F.lit(1)) > 0, F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "phrase", "code"))), ", "))
     return df.groupBy(key).pivot("column", columns).agg(cell)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import to_int
+from ..functions.tags import long_to_wide
 from ..functions.text import sentences
 
 HEAD = r"(?m)^={3,}\s*(.+?)\s*={3,}\s*$"
@@ -59,10 +60,9 @@ def tag_terms(docs: DataFrame, taxonomy: list[tuple[str, str, str, str, str]], k
 
 
 def tag_columns(tagged: DataFrame, taxonomy: list[tuple[str, str, str, str, str]], key: str = "doc_id") -> DataFrame:
-    """A column category__hash__subgroup__hash__term of sorted `phrase:code` lists for each term."""
+    """A column category__hash__subgroup__hash__term of sorted `phrase:code` lists for each term; null where a text has none."""
     names = list(dict.fromkeys("__hash__".join(t[:3]) for t in taxonomy))
-    cell = F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "phrase", "code"))), ", ")
-    return tagged.withColumn("column", F.concat_ws("__hash__", "category", "subgroup", "term")).groupBy(key).pivot("column", names).agg(cell)
+    return long_to_wide(tagged.withColumn("column", F.concat_ws("__hash__", "category", "subgroup", "term")), key, names)
 
 
 AGES = r"(?i)(?:\bages?\s+|(?:less|greater|more)\s+than\s+|[<>]\s*)?\d{1,3}\s*(?:(?:-|–|to)\s*\d{1,3})?\s*(?:years?|yrs?)\b|\bages?\s+\d{1,3}\s*(?:-|–|to)\s*\d{1,3}"

@@ -12,8 +12,6 @@ from . import predicates as P
 from .query import Query, aggregate, ordered
 
 PART = "__hash__"
-#: Longest column name that the catalogue's first store could hold.
-NAME_LIMIT = 63
 #: Columns that a filter on the title looks into.
 TITLE_COLUMNS = ("title", "authors", "abstract", "country", "journal")
 TYPES = {
@@ -136,7 +134,7 @@ def selection_columns(selections: list[str], tags: DataFrame) -> DataFrame:
     asked = spark.createDataFrame([(i, s) for i, s in enumerate(selections)], "i int, selection string")
     names = tags.select("column", F.explode_outer(F.transform(F.concat(F.array("display"), F.coalesce("synonyms", F.array().cast("array<string>"))), lambda s: F.lower(F.trim(s)))).alias("name"))
     hits = asked.join(names, F.lower(F.trim("selection")) == F.col("name"))
-    return hits.groupBy("i", "selection").agg(F.min("column").alias("c")).select("selection", F.substring("c", 1, NAME_LIMIT).alias("column"))
+    return hits.groupBy("i", "selection").agg(F.min("column").alias("c")).select("selection", F.col("c").alias("column"))
 
 
 def by_members(df: DataFrame, wanted: dict[str, list[str]], skip: tuple[str, ...] = ("intervention", "topic", "outcome")) -> DataFrame:

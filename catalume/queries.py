@@ -571,7 +571,7 @@ def _(t):
 
 @query("appraisal_items")
 def _(t):
-    return appraisal.appraise(t.table("documents").select("doc_id", "text")).drop("text")
+    return appraisal.appraise(t.table("documents").select("doc_id", "text")).drop("text", "amstar_label", "amstar_flaws", "amstar_met")
 
 
 @query("appraisal_label", "SELECT doc_id, CASE WHEN c >= 2 THEN 'Critically Low' WHEN c = 1 THEN 'Low' WHEN s >= 2 THEN 'Moderate' ELSE 'High' END AS label FROM (SELECT doc_id, (quality = 0)::INT + (toxic = 1)::INT AS c, (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT AS s FROM labels)")
