@@ -17,21 +17,30 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def unit(v: Column) -> Column:
+    """A vector of length one in double precision; null for one without a direction."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.get(F.transform(F.array(F.nullif(norm, F.lit(0.0))), lambda n: F.when(n.isNotNull(), F.transform(v, lambda x: x.cast("double") / n))), F.lit(0))
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", unlike: str | None = None) -> DataFrame:
     """query, key, similarity, rank: the k rows most similar to each query (a stated, small set), of equals the smaller key; a query itself is left out, and with ``unlike`` so are rows that equal it in that column.
 
-    Each task scores its rows against the queries, k of them go on for each query and task.
+    Vectors are brought to length one before the join. Each task scores its rows against the queries, k of them go on for
+    each query and task.
     """
     other = [] if unlike is None else [F.col(unlike)]
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), *(c.alias("__own") for c in other))
+    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("__q"), *(c.alias("__own") for c in other))
     met = F.col(key) != F.col("query")
     for c in other:
         met = met & (c != F.col("__own"))
     blocks = max(1, math.ceil(queries.count() / BLOCK))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    parts = [rows.select(key, vector, *other).join(F.broadcast(q.where(block == i)), met) for i in range(blocks)]
+    units = rows.select(key, unit(F.col(vector)).alias("__v"), *other)
+    parts = [units.join(F.broadcast(q.where(block == i)), met) for i in range(blocks)]
     scored = reduce(DataFrame.unionByName, parts)
-    scored = scored.select("query", key, F.round(cosine(F.col("__q"), F.col(vector)), 6).alias("similarity"))
+    dot = F.aggregate(F.zip_with("__q", "__v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scored = scored.select("query", key, F.round(dot, 6).alias("similarity"))
     order = Window.partitionBy("query").orderBy(F.desc_nulls_last("similarity"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -52,13 +52,33 @@ def term_pattern(term: str, raw: bool = False) -> str:
 def tag_terms(docs: DataFrame, taxonomy: list[tuple[str, str, str, str, str]], key: str = "doc_id", text: str = "text", raw: bool = False) -> DataFrame:
     """key, category, subgroup, term, phrase, code for each phrase of the taxonomy (category, subgroup, term, phrase, code) that stands in a text as words.
 
-    The taxonomy is a short list that comes with the call: every text is scanned once, where it is read, without a join.
+    The taxonomy is a short list that comes with the call: every text is scanned where it is read, without a join, once for
+    each subgroup and only then for the phrases of those that it has.
     """
-    hits = [F.when(F.col(text).rlike(term_pattern(t[3], raw)), F.struct(*(F.lit(v).alias(n) for n, v in zip(("category", "subgroup", "term", "phrase", "code"), t)))) for t in taxonomy]
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    groups: dict[tuple[str, str], list] = {}
+    for t in taxonomy:
+        groups.setdefault(t[:2], []).append(t)
+    entry = lambda t: F.struct(*(F.lit(v).alias(n) for n, v in zip(("category", "subgroup", "term", "phrase", "code"), t)))
+    has = lambda ts: F.col(text).rlike("(?:" + "|".join(term_pattern(t[3], raw) for t in ts) + ")")
+    hits = [F.when(has(ts), F.array_compact(F.array(*(F.when(has([t]), entry(t)) for t in ts)))) for ts in groups.values()]
+    found = F.flatten(F.array_compact(F.array(*hits)))
     return docs.select(key, F.explode(found).alias("h")).select(key, "h.*")
 
 
+def parent_tags(docs: DataFrame, taxonomy: list[tuple[str, str, str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, parent, terms: for each `category#subgroup` the terms, sorted and comma-joined, of which a phrase (category, subgroup, term, phrase) stands in a text.
+
+    A term that ends in a range of ages, such as `Adults_18-64`, is also found by an age range in the text that overlaps it.
+    """
+    hits = tag_terms(docs, [(*t[:4], t[2]) for t in taxonomy], key, text, raw=True).select(key, "category", "subgroup", "term")
+    ages = {t[:3]: m for t in taxonomy if (m := re.search(r"_(\d+)-(\d+)$", t[2]))}
+    if ages:
+        groups = docs.sparkSession.createDataFrame([(*t, int(m[1]), int(m[2])) for t, m in ages.items()], "category string, subgroup string, term string, group_low int, group_high int")
+        ranges = docs.select(key, F.explode(age_ranges(F.col(text))).alias("r")).select(key, "r.low", "r.high")
+        hits = hits.unionByName(overlapping(ranges, groups).select(key, "category", "subgroup", "term"))
+    return hits.groupBy(key, F.concat_ws("#", "category", "subgroup").alias("parent")).agg(F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("terms"))
+
+
 def tag_columns(tagged: DataFrame, taxonomy: list[tuple[str, str, str, str, str]], key: str = "doc_id") -> DataFrame:
     """A column category__hash__subgroup__hash__term of sorted `phrase:code` lists for each term; null where a text has none."""
     names = list(dict.fromkeys("__hash__".join(t[:3]) for t in taxonomy))

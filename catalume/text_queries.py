@@ -258,6 +258,16 @@ def _(t):
     return one(t, lambda c: tagging.first_label(c, [("Red", "colour"), ("blue", "sky")]), "upper(p_name)").withColumn("value", F.replace("value", F.lit("Red"), F.lit("red")))
 
 
+GROUPS = [("Population", "AgeGroup", "Newborn_0-1", "newborns?"), ("Population", "AgeGroup", "Adults_18-64", "adults?"), ("Population", "AgeGroup", "OlderAdults_65-10000", "older adults"), ("Topic", "Effect", "Efficacy", "efficacy"), ("Topic", "Effect", "Safety", "safety")]
+
+
+@query("parent_tags", """SELECT p_partkey, 'Population#AgeGroup' AS parent, concat_ws(', ', CASE WHEN p_size + 5 >= 18 THEN 'Adults_18-64' END, 'Newborn_0-1') AS terms FROM part
+  UNION ALL SELECT p_partkey, 'Topic#Effect', CASE WHEN p_size % 2 = 0 THEN 'Efficacy, Safety' ELSE 'Efficacy' END FROM part""")
+def _(t):
+    rows = part(t, text="'Efficacy in newborns and ages ' || p_size || ' to ' || (p_size + 5) || CASE WHEN p_size % 2 = 0 THEN ', Safety' ELSE '' END")
+    return tagging.parent_tags(rows, GROUPS, "p_partkey")
+
+
 @query("confidence", "SELECT p_partkey, round(((p_size % 2 = 0)::INT + 1) / 3.0::DOUBLE, 2) AS value FROM part")
 def _(t):
     rows = part(t, a="CASE WHEN p_size % 2 = 0 THEN 'x' END", b="p_name", c="''")
