@@ -24,7 +24,7 @@ SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_WORDS, SAMPLE_CHARACTERS = 150, 4, 60, 2000
 #: Languages that a model can have; with more values in lang, fitting is an error.
 LANGUAGES = 1000
 #: Parts of a language in which documents are ranked, one level after another, so that few meet in one task.
-SALTS = (128, 16, 2, 1)
+SALTS = (128, 32, 4, 1)
 #: Features kept (the most frequent), lexicon words, rounds of training, step size, and the weight of the penalty.
 FEATURES, LEXICON, ROUNDS, STEP, PENALTY = 20_000, 4_000, 20, 0.3, 1e-4
 #: Passages that are joined to one training chain, so that transitions between languages are seen.
