@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.identifiers import normalise_doi
 from ..functions.numbers import typed
+from .numbering import with_places
 
 #: The sources in order of precedence, and the columns that each has under another name.
 SOURCES = ("Cochrane", "Medline", "LOVE", "OVID")
@@ -46,8 +47,9 @@ def rename(df: DataFrame, names: dict[str, str], common: tuple[str, ...] = COMMO
 
 
 def sequence_ids(df: DataFrame, source: str, order: str) -> DataFrame:
-    """`id`: the source and a number from 1 in each source."""
-    return df.withColumn("id", F.concat_ws("_", source, F.row_number().over(Window.partitionBy(source).orderBy(order))))
+    """`id`: the source and a number from 1 in each source. A source of any size is numbered in ranges of the order."""
+    placed = with_places(df.drop("id"), order, (source,), "__place")
+    return placed.withColumn("id", F.concat_ws("_", source, F.col("__place") + 1)).drop("__place")
 
 
 def first_seen(df: DataFrame, key: Column, order: list[str | Column]) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,27 +86,33 @@ def roll_up(df: DataFrame, sections: dict[str, tuple[str, ...]]) -> DataFrame:
     return rows.select(section.alias("section"), key.alias("key"), "n")
 
 
-def dashboard(df: DataFrame, journals: int = 3, sources: int = 4) -> DataFrame:
-    """One row of JSON texts: year_source (null groups kept), country, journal (empty names kept), source, database; `[]` for a missing column."""
-    out = df.sparkSession.range(1).select()
+def dashboard(df: DataFrame, journals: int = 3, sources: int = 4, most: int = 10_000) -> DataFrame:
+    """One row of JSON texts: year_source (null groups kept), country, journal (empty names kept), source, database; `[]` for a missing column.
+
+    All counts come from one pass over the rows. year_source and country list up to ``most`` groups, the first in order,
+    which bounds the row; counts of more groups are `roll_up`'s.
+    """
     parts = {"year_source": ("year", "source"), "country": ("country",), "journal": ("journal",), "source": ("source",), "database": ("database",)}
     limits = {"journal": journals, "source": sources, "database": sources}
-    for name, cs in parts.items():
-        if not set(cs) <= set(df.columns):
-            out = out.withColumn(name, F.lit("[]"))
-            continue
-        counts = df.groupBy(*cs).agg(rows_n())
-        counts = counts.where(F.col(cs[0]).isNotNull()) if name != "year_source" else counts
-        order = [F.col(c) for c in cs] if name == "year_source" else [F.desc("n"), F.col(cs[0])]
-        counts = counts.orderBy(*order).limit(limits[name]) if name in limits else counts
-        sort = F.array_sort(F.collect_list(F.struct(*([F.col(c) for c in cs] if name == "year_source" else [(-F.col("n")).alias("k"), *cs]), "n")))
-        one = counts.agg(F.to_json(F.transform(sort, _only(cs))).alias(name))
-        out = out.crossJoin(one)  # both have one row
-    return out
-
-
-def _only(columns: tuple[str, ...]):
-    return lambda x: F.struct(*(x[c].alias(c) for c in columns), x["n"].alias("n"))
+    there = {k: cs for k, cs in parts.items() if set(cs) <= set(df.columns)}
+    columns = list(dict.fromkeys(c for cs in there.values() for c in cs))
+    out = df.sparkSession.range(1).select()
+    if there:
+        counts = df.select(*columns).groupingSets([[F.col(c) for c in cs] for cs in there.values()], *columns).agg(rows_n(), F.grouping_id().alias("g"))
+        bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
+        section = F.lit(None).cast("string")
+        for name, cs in there.items():
+            section = F.when(F.col("g") == sum(b for c, b in bit.items() if c not in cs), name).otherwise(section)
+        counts = counts.withColumn("section", section)
+        counts = counts.where(F.when(F.col("section") == "year_source", True).otherwise(F.coalesce(*(F.when(F.col("section") == k, F.col(cs[0]).isNotNull()) for k, cs in there.items()))))
+        by_count = F.when(F.col("section") != "year_source", -F.col("n"))
+        place = F.row_number().over(Window.partitionBy("section").orderBy(by_count, *columns))
+        limit = F.coalesce(*(F.when(F.col("section") == k, F.lit(v)) for k, v in limits.items() if k in there), F.lit(most))
+        counts = counts.withColumn("place", place).where(F.col("place") <= limit)
+        row = lambda cs: F.struct("place", F.struct(*cs, "n").alias("x"))
+        listed = {k: F.to_json(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == k, row(cs)))), lambda r: r["x"])).alias(k) for k, cs in there.items()}
+        out = counts.agg(*listed.values())
+    return out.select(*(F.col(k) if k in there else F.lit("[]").alias(k) for k in parts))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import normalise_doi
 from ..functions.numbers import from_year
+from .numbering import with_places
 
 
 def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def upsert_papers(df: DataFrame, rows: DataFrame, order: str, least_year: int =
     known = last_wins(met.where("primary_id IS NOT NULL"), ["primary_id"], order)
     new = last_wins(met.where("primary_id IS NULL"), ["cleaned_doi"], order)
     top = df.agg(F.coalesce(F.max("primary_id"), F.lit(0)).alias("__top"))
-    new = new.drop("primary_id").crossJoin(top).withColumn("primary_id", F.col("__top") + F.row_number().over(Window.orderBy(order)))
+    new = with_places(new.drop("primary_id"), order, name="__place").crossJoin(top).withColumn("primary_id", F.col("__top") + F.col("__place") + 1)
     keep = [c for c in df.columns if c in new.columns]
     return insert(update_from(df, known.select(*keep), "primary_id"), new.select(*keep))
 

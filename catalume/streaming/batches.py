@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.numbering import with_places
+
 #: Columns that an uploaded file must have.
 UPLOAD = ("Authors", "Year", "Title", "DOI", "Open Access", "Abstract", "Id", "Source", "Language", "Country", "Database", "Journal")
 
@@ -56,13 +58,6 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
-def in_batches(rows: DataFrame, key: str, size: int, parts: int = 4096) -> DataFrame:
-    """``rows`` with `batch`, numbers of groups of ``size`` in the order of a whole-number key: counts of ``parts`` key ranges give where each range starts, and each range is numbered by itself."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows.withColumn("batch", F.lit(None).cast("long"))
-    rows = rows.withColumn("__part", F.floor((F.col(key) - low) / ((high - low + 1) / parts)).cast("int"))
-    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))  # one row a range
-    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1).join(F.broadcast(starts), "__part")
-    return numbered.withColumn("batch", F.floor((F.col("__start") + F.col("__n")) / size)).drop("__part", "__n", "__start")
+def in_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` with `batch`, numbers of groups of ``size`` in the order of a key."""
+    return with_places(rows, key, name="__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")

@@ -10,7 +10,7 @@ from .operators import appraisal, filters, ingest, mining, qa, retrieval, spans,
 from .plans import payload
 from .plans import predicates as P
 from .plans.query import Query
-from .queries import ORACLE_SQL, query
+from .queries import ORACLE_SQL, RECORDS, query
 from .sources import files, html
 from .streaming import batches
 
@@ -528,3 +528,20 @@ def _(t):
 def _(t):
     docs = t.table("nation").select(F.col("n_nationkey").alias("doc_id"))
     return qa.unanswerable(docs, docs.withColumn("label", F.lit("A")), {"A": "A?", "B": "B?"})
+
+
+def _json_rows(name: str, fields: dict[str, str], group: str, order: str, limit: int | None = None) -> str:
+    """SQL for a JSON list of objects of ``fields`` (name: SQL text) and n, by a grouping of the records."""
+    made = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items())
+    cut = f"LIMIT {limit}" if limit else ""
+    return f"(SELECT '[' || string_agg('{{' || {made} || ',\"n\":' || n || '}}', ',' ORDER BY {order}) || ']' FROM (SELECT {group}, count(*) AS n FROM {{records}} GROUP BY ALL ORDER BY {order} {cut})) AS {name}"
+
+
+_quoted = "'\"' || {} || '\"'".format
+ORACLE_SQL["dashboard_json"] = ("SELECT " + ", ".join((
+    _json_rows("year_source", {"year": "year", "source": _quoted("source")}, "year, source", "year, source"),
+    _json_rows("country", {"country": _quoted("country")}, "country", "n DESC, country"),
+    _json_rows("journal", {"journal": _quoted("journal")}, "journal", "n DESC, journal", 3),
+    _json_rows("source", {"source": _quoted("source")}, "source", "n DESC, source", 4),
+    _json_rows("database", {"database": _quoted("database")}, "database", "n DESC, database", 4),
+))).replace("{records}", RECORDS)
