@@ -113,15 +113,28 @@ def occurrences(text: Column, marks: Column) -> Column:
     return F.sort_array(F.filter(let(ordered, hits), lambda x: x.isNotNull()))
 
 
-def disclosing(texts: DataFrame) -> DataFrame:
-    """key, marks (structs term, share) for each of the different ``texts`` (key, terms, entities) with terms that exceed the disclosure threshold for one of its entities.
+#: Keys of repeated texts that are sent to all tasks, 16 MB or so; more of them are joined by a shuffle.
+SENT_KEYS = 200_000
+
+
+def different_texts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """key, terms, entities of each of the different texts of ``rows``, and their number. Only repeated texts are shuffled, each but once from a task."""
+    repeated = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    keys, more = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()
+    side = F.broadcast(repeated.select("key")) if keys <= SENT_KEYS else repeated.select("key")
+    narrow = rows.select("key", "terms", "entities")
+    once = narrow.join(side, "key", "left_semi").groupBy("key").agg(F.first("terms").alias("terms"), F.first("entities").alias("entities"))
+    return narrow.join(side, "key", "left_anti").unionByName(once), rows.count() - more
+
+
+def disclosing(texts: DataFrame, total: float) -> DataFrame:
+    """key, marks (structs term, share) for each of the different ``texts`` (key, terms, entities) with terms that exceed the disclosure threshold for one of its entities; ``total`` is their number.
 
     share = log2(N * both / (df(entity) * df(term))) / log2(N / df(entity)), with counts over all texts. An entity of a
     single text has every term of that text with it, so that only the others' pairs with terms are made and counted; the
     single ones of a text go as one. Terms that are too frequent for any share above the threshold are left out first.
     """
-    total = float(texts.count())
-    held = texts.where(F.size("entities") > 0)
+    held = materialize(texts.where(F.size("entities") > 0), "held")
     owners = held.select("key", F.explode("entities").alias("entity"))
     counted = owners.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     often = float(counted.agg(F.max("of_entity")).first()[0] or 0)
@@ -144,7 +157,7 @@ def disclosing(texts: DataFrame) -> DataFrame:
     rows = alone.where(F.col("share") >= GENERALISE).unionByName(pairs.join(rated, ["entity", "term"]).select("key", "term", "share"))
     rows = rows.groupBy("key", "term").agg(F.max("share").alias("share"))
     marks = materialize(rows.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("marks")), "marks")
-    discard(terms, shared)
+    discard(terms, shared, held)
     return marks
 
 
@@ -160,9 +173,8 @@ def find_personal(docs: DataFrame, *columns: str) -> DataFrame:
     rows = pack(docs, *columns, key=F.md5(text), text=text).withColumn("base", base_spans(F.col("text")))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     rows = materialize(rows.select("row", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), entities.alias("entities"), term_hashes(F.col("text")).alias("terms")), "spans")
-    texts = materialize(rows.groupBy("key").agg(F.first("terms").alias("terms"), F.first("entities").alias("entities")), "texts")
-    marks = disclosing(texts)
-    discard(texts)
+    texts, total = different_texts(rows)
+    marks = disclosing(texts, float(total))
     none = F.array().cast(TERMS)
     held = rows.where("text IS NOT NULL").select("row", "key", "base", "text").join(marks, "key", "left")
     held = held.select("row", "base", F.when(F.col("marks").isNotNull(), occurrences(F.col("text"), F.col("marks"))).otherwise(none).alias("terms"))

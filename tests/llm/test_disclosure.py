@@ -86,6 +86,14 @@ def test_shares_against_brute_force(spark):
     assert marked(spark, texts * 5) == wanted * 5
 
 
+def test_many_repeated_texts(spark, monkeypatch):
+    """Keys of repeated texts that are too many to be sent to all tasks give the same marks."""
+    texts = corpus(4)
+    texts += texts[:40] * 3
+    monkeypatch.setattr(pii, "SENT_KEYS", 5)
+    assert marked(spark, texts) == marked_by_hand(texts)
+
+
 def test_entity_of_one_text(spark):
     """A name that stands in no other text goes; what others write too stays."""
     clean = cleaned(spark, [f"quixandor says call here today at qui@example.org. {FILLER}", *(f"{FILLER} he says call here today at number {i}" for i in range(60))])
