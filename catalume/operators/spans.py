@@ -64,6 +64,28 @@ def chunks(text: Column, size: int = 4000, overlap: int = 400) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, F.length(text)).alias("end"), F.substr(text, s + 1, F.lit(size)).alias("text")))
 
 
+def line_chunks(text: Column, size: int = 4000, overlap: int = 400, within: int = 1500) -> Column:
+    """Structs start, end, text of pieces that overlap; a piece but the last ends before the last line feed among its last ``within`` characters, if there is one.
+
+    ``size`` must be over ``within`` + ``overlap``, so that each piece goes on. A null text gives null, an empty one one empty piece.
+    """
+    if size <= within + overlap:
+        raise ValueError("size must be over within + overlap")
+    n = F.length(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+    def step(a: Column, _: Column) -> Column:
+        last = a["at"] + size >= n
+        back = F.instr(F.reverse(F.substr(text, a["at"] + size - within + 2, F.lit(within - 1))), "\n")
+        end = F.when(last, n).otherwise(a["at"] + size - back)
+        piece = F.struct(a["at"].alias("start"), end.alias("end"), F.substr(text, a["at"] + 1, end - a["at"]).alias("text"))
+        went = F.struct((end - overlap).alias("at"), last.alias("done"), F.concat(a["out"], F.array(piece)).alias("out"))
+        return F.when(a["done"], a).otherwise(went)
+
+    most = F.floor(n / F.lit(size - within - overlap)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["out"])
+
+
 def windows(items: Column, size: int = 256, stride: int = 128) -> Column:
     """Slices of an array, ``stride`` apart."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(stride))

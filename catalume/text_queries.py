@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import dates, identifiers, numbers, tags, text
-from .operators import appraisal, filters, ingest, mining, qa, retrieval, spans, stats, tagging, writes
+from .operators import appraisal, facts, filters, ingest, mining, qa, retrieval, spans, stats, tagging, writes
 from .plans import payload
 from .plans import predicates as P
 from .plans.query import Query
@@ -545,3 +545,62 @@ ORACLE_SQL["dashboard_json"] = ("SELECT " + ", ".join((
     _json_rows("source", {"source": _quoted("source")}, "source", "n DESC, source", 4),
     _json_rows("database", {"database": _quoted("database")}, "database", "n DESC, database", 4),
 ))).replace("{records}", RECORDS)
+
+
+# facts
+TREATED = "'Patients got ' || p_size || ' mg daily for ' || p_size || ' weeks versus Placebo, in a 3-dose series at 0, 1, 6 months; the placebo group and the control arm had ' || p_size || ' weeks follow-up.'"
+
+
+@query("treatment", "SELECT p_partkey, p_size || ' weeks' AS durations, p_size || ' mg' AS doses, '3-dose series|at 0, 1, 6 months' AS schedules, 'placebo|control' AS comparators FROM part")
+def _(t):
+    made = part(t, t=TREATED).select("p_partkey", facts.treatment(F.col("t")).alias("v"))
+    return made.select("p_partkey", *(F.array_join(f"v.{c}", "|").alias(c) for c in ("durations", "doses", "schedules", "comparators")))
+
+
+_PLACE = "CASE p_size % 3 WHEN 0 THEN 'Kenya' WHEN 1 THEN 'Peru' ELSE 'nowhere' END"
+
+
+@query("title_metadata", f"SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN {_PLACE} ELSE '' END AS location, 'Asian|Black' AS races, 'pregnant women|pregnant women in ' || {_PLACE} AS populations, 'vaccines' AS topics, p_size AS num_databases, p_size || ' weeks' AS duration, '5 mg' AS dosage, 'usual care' AS comparator FROM part")
+def _(t):
+    rows = part(t, title=f"'Uptake of vaccines among pregnant women in ' || {_PLACE} || ': Asian and Black groups'", body="'We searched ' || p_size || ' databases. Duration of ' || p_size || ' weeks, 5 mg dose, compared to usual care.'")
+    v = rows.select("p_partkey", facts.title_metadata(F.col("title"), F.col("body"), ["Peru", "Kenya"], ["vaccines", "hiv"]).alias("v"))
+    arrays = (F.array_join(f"v.{c}", "|").alias(a) for c, a in (("race_ethnicity", "races"), ("target_population", "populations"), ("topic", "topics")))
+    return v.select("p_partkey", "v.location", *arrays, "v.num_databases", F.col("v.duration_of_intervention").alias("duration"), "v.dosage", "v.comparator")
+
+
+@query("pruned_facts", "SELECT p_partkey, concat_ws(' ', CASE WHEN p_size % 2 > 0 THEN 'odd=' || p_size % 2 END, 'doses=[\"' || p_size || ' mg\"]') AS value FROM part")
+def _(t):
+    v = part(t, t=TREATED, odd="p_size % 2").withColumn("v", facts.treatment(F.col("t")))
+    pruned = facts.prune({"odd": F.col("odd"), "doses": F.col("v.doses"), "none": F.array().cast("array<string>"), "blank": F.lit("")})
+    return v.select("p_partkey", F.array_join(F.transform(F.map_entries(pruned), lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("value"))
+
+
+@query("evidence_caps", "SELECT p_partkey, least(p_size, 8) + least(p_size, 20) AS n, 'a' AS first, 'b' AS last FROM part")
+def _(t):
+    texts = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: i.cast("string"))
+    rows = t.table("part").select("p_partkey", facts.evidence({"a": texts, "b": texts}, {"a": 8, "b": 20}).alias("e"))
+    return rows.select("p_partkey", F.size("e").alias("n"), F.get("e", F.lit(0))["field"].alias("first"), F.element_at("e", -1)["field"].alias("last"))
+
+
+@query("name_codes", "SELECT n_nationkey, CASE n_name WHEN 'KENYA' THEN 404 ELSE 604 END AS id FROM nation WHERE n_name IN ('KENYA', 'PERU')")
+def _(t):
+    return facts.with_codes(t.table("nation").select("n_nationkey", "n_name"), "n_name", {"KENYA": 404, "PERU": 604}).select("n_nationkey", "id")
+
+
+# texts of x with a line feed after each n of them, in rows of n: a piece ends before the last line feed of its first 100 characters, but not 40 or more before their end
+@query("line_chunks", """WITH RECURSIVE texts AS (SELECT p_partkey, repeat(repeat('x', p_size) || chr(10), 12) AS t FROM part),
+cut AS (SELECT p_partkey, t, 0 AS s, CASE WHEN length(t) <= 100 THEN length(t) WHEN strpos(reverse(t[62:100]), chr(10)) > 0 THEN 100 - strpos(reverse(t[62:100]), chr(10)) ELSE 100 END AS e FROM texts
+UNION ALL SELECT p_partkey, t, e - 10, CASE WHEN e + 90 >= length(t) THEN length(t) WHEN strpos(reverse(t[e + 52 : e + 90]), chr(10)) > 0 THEN e + 90 - strpos(reverse(t[e + 52 : e + 90]), chr(10)) ELSE e + 90 END FROM cut WHERE e < length(t))
+SELECT p_partkey, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", t[s + 1 : e] AS text FROM cut""")
+def _(t):
+    rows = part(t, t="repeat(repeat('x', p_size) || '\\n', 12)")
+    return rows.select("p_partkey", F.explode(spans.line_chunks(F.col("t"), 100, 10, 40)).alias("c")).select("p_partkey", "c.*")
+
+
+@query("mined_slots", "SELECT slot, count(*) AS n FROM part, (VALUES ('studies'), ('date'), ('country'), ('design_cohort'), ('design_any'), ('outcome_death'), ('age_numeric'), ('age_groups'), ('topic'), ('intervention_any'), ('intervention_flu')) v(slot) GROUP BY slot")
+def _(t):
+    told = ("In total 12 cohort studies were included in paper ' || p_partkey || '. We screened many cohort studies on mortality in adults. We searched until May 2021 for paper ' || p_partkey || '. Kenya (n = 1,200) came in paper ' || p_partkey || '. "
+            "Mortality was low in paper ' || p_partkey || '. Adults of 18 to 60 years came in paper ' || p_partkey || '. The flu vaccine has awareness in paper ' || p_partkey || '.")
+    slots = ["studies", "date", "country", "design_cohort", "design_any", "outcome_death", "age_numeric", "age_groups", "topic", "intervention_any", "intervention_flu", "design_rct", "outcome_icu"]
+    rules = mining.slot_rules({s: [f"{s}?"] for s in slots}, {"topic": ["awareness"]}, {"country": ["Kenya", "Peru"]}, {"flu": ["flu", "influenza"], "hpv": ["hpv"]})
+    return mining.slot_counts(mining.mine(part(t, t="'" + told.replace(". ", ".\\n") + "'"), rules, "p_partkey", "t"))
