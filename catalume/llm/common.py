@@ -66,6 +66,17 @@ def pack(df: DataFrame, *columns: str, **more: Column) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in columns or df.columns)).alias("row"), *(c.alias(k) for k, c in more.items()))
 
 
+#: Parts that the rows of one key are dealt to in `join_spread`.
+SALTS = 256
+
+
+def join_spread(rows: DataFrame, told: DataFrame, key: str, salt: Column) -> DataFrame:
+    """``rows`` joined with ``told``, which has one row a key and reaches each of them, however many share a key: a key's rows are dealt by ``salt`` (a hash of whatever tells them apart) to SALTS tasks. ``told`` is repeated for the salts that a key has, no more than SALTS times nor than the key has rows."""
+    salted = rows.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    each = salted.select(key, "__salt").distinct().join(told, key)
+    return salted.join(each, [key, "__salt"]).drop("__salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_spread, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: links each larger neighbour of a node to the smallest of the node and its neighbours. Small star: the same for the node and its smaller neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
+    told = lambda rows: join_spread(rows, least, "u", F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))  # noqa: E731  a hub's rows go to many tasks
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     if large:
-        linked = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        linked = told(both.where("v > u"))
     else:
-        linked = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        linked = told(near).unionByName(least.select("u", F.col("m").alias("v")))
     return linked.where("u <> v").distinct()
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, let, materialize, pack, small_batches
+from .common import discard, join_spread, let, materialize, pack, small_batches
 from .graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -132,16 +132,18 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     have fingerprint 0 and link like any other. Rows with equal doc_ids and null doc_ids are fine; a group whose doc_ids
     are all null has a null component_id. Equal fingerprints are one node, however many copies it has.
     """
-    printed = materialize(with_fingerprint(docs.select("doc_id", F.col(f"`{text}`").alias("__text")), "__text").drop("__text"), "fingerprints")
+    printed = with_fingerprint(docs.select("doc_id", F.col(f"`{text}`").alias("__text")), "__text").drop("__text")
+    # rows are numbered before they are written, so that those of one fingerprint can be told apart even if their doc_ids are null
+    printed = materialize(printed.withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
     rooted = near_roots(materialize(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fingerprint", "component_id")
-    return printed.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return join_spread(printed, named, "fingerprint", F.col("__row")).select("doc_id", "fingerprint", "component_id")
 
 
 def print_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs u, v of ``nodes`` (text_key, fingerprint) that op6's links join."""
     prints = materialize(nodes.groupBy("fingerprint").agg(F.min("text_key").alias("first")), "prints")
-    same = nodes.join(prints, "fingerprint").select(F.col("text_key").alias("u"), F.col("first").alias("v"))
+    same = join_spread(nodes, prints, "fingerprint", F.xxhash64("text_key")).select(F.col("text_key").alias("u"), F.col("first").alias("v"))
     firsts = lambda name: prints.select(F.col("fingerprint").alias(name), F.col("first").alias(f"first_{name}"))
     near = near_links(prints.select("fingerprint")).join(firsts("u"), "u").join(firsts("v"), "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
     return same.unionByName(near)
@@ -251,7 +253,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     key, name = text_names(docs)
     printed = materialize(with_fingerprint(docs.select("doc_id", "text", key, name)).drop("text"), "fingerprints")
     roots = near_roots(materialize(printed.select("fingerprint").distinct(), "nodes"))
-    return one_row_each(docs, least_rows(printed.withColumn("none", F.col("doc_id").isNull()).join(roots, "fingerprint")))
+    rooted = join_spread(printed.withColumn("none", F.col("doc_id").isNull()), roots, "fingerprint", F.xxhash64("text_key", "name"))
+    return one_row_each(docs, least_rows(rooted))
 
 
 def least_rows(rooted: DataFrame) -> DataFrame:

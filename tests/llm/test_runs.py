@@ -38,3 +38,12 @@ def test_discarded_tables(spark):
     common.discard(df)
     with pytest.raises(Exception, match="(?i)path|file"):
         df.sparkSession.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_join_spread(spark):
+    """Every row is joined once, whether its key has one row or many, also those without anything to tell them apart."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 2900, 7).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    told = rows.select("k").distinct().where("k <> 2950").withColumn("twice", F.col("k") * 2)
+    found = common.join_spread(rows, told, "k", F.xxhash64("v"))
+    assert found.columns == ["k", "v", "twice"] and found.count() == 2999 and found.where("twice <> 2 * k").isEmpty()
+    assert found.where("k = 7").count() == 2900
