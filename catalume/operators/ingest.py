@@ -150,3 +150,24 @@ def is_english(language: Column) -> Column:
 
 def unprocessed(df: DataFrame, field: str = "open_access", key: str = "doi") -> DataFrame:
     return df.where((F.col(field).isNull() | (F.trim(field) == "")) & F.col(key).isNotNull())
+
+
+def assemble_medline(records: DataFrame, order: str, english_only: bool = True, reviews_only: bool = True, open_only: bool = False) -> DataFrame:
+    """MEDLINE fields (PMID, TI, AB, DP, JT, PL texts; AU, LA, MH, PT, AID arrays; is_oa, best_oa_url) as the catalogue's columns.
+
+    Arrays are joined by `; `, of AID only DOIs are kept, missing fields are empty texts. Of records with one PMID (those
+    without one have the empty one) the first by ``order`` stays, before records are filtered by language, kind and access.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "; ")
+    tokens = F.transform(F.coalesce("AID", F.array().cast("array<string>")), lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1))
+    made = {
+        "pmid": text("PMID"), "title": text("TI"), "abstract": text("AB"), "authors": joined("AU"), "publication_date": text("DP"), "journal": text("JT"),
+        "country": text("PL"), "language": joined("LA"), "mesh_terms": joined("MH"), "publication_type": joined("PT"),
+        "doi": F.array_join(F.filter(tokens, lambda x: x.startswith("10.")), "; "), "is_oa": F.coalesce("is_oa", F.lit(False)), "best_oa_url": F.col("best_oa_url"),
+    }
+    rows = records.select(F.col(order).alias("__order"), *(c.alias(k) for k, c in made.items()))
+    first = rows.groupBy("pmid").agg(F.min_by(F.struct(*(k for k in made if k != "pmid")), "__order").alias("r")).select("pmid", "r.*")
+    first = first.where(is_english(F.col("language"))) if english_only else first
+    first = first.where(is_systematic_review(F.col("publication_type"), F.col("title"), F.col("abstract"))) if reviews_only else first
+    return first.where("is_oa") if open_only else first

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import replace_items
+
 SPANS = "array<struct<start:int,end:int,label:string>>"
 
 
@@ -58,6 +60,25 @@ def regex_spans(text: Column, rules: dict[str, str]) -> Column:
     return F.sort_array(F.concat(*(of_label(k, v) for k, v in rules.items())))
 
 
+def pattern_bag(text: Column, pattern: str, acronyms: dict[str, str] | None = None, width: int = 100) -> Column:
+    """A struct of a pattern's matches in a text: tags (each once, in order, comma-joined), acronyms (the tags with short forms in their places), bag (a JSON list of all matches with ``width`` characters before and after). A null text gives nulls, one without matches empty texts and an empty list."""
+    cut = lambda a, b: F.substr(text, a + 1, b - a)
+    item = lambda s: F.struct(cut(s["start"], s["end"]).alias("Matched Content"), cut(F.greatest(s["start"] - width, F.lit(0)), s["start"]).alias("Text Before"), F.substr(text, s["end"] + 1, F.lit(width)).alias("Text After"))
+    bag = F.transform(regex_spans(text, {"": pattern}), item)
+    tags = F.array_join(F.array_distinct(F.transform(bag, lambda x: x["Matched Content"])), ", ")
+    return F.struct(tags.alias("tags"), replace_items(tags, acronyms or {}).alias("acronyms"), F.to_json(bag).alias("bag"))
+
+
+def with_bags(df: DataFrame, text: str, patterns: dict[str, str], acronyms: dict[str, dict[str, str]] | None = None, width: int = 100) -> DataFrame:
+    """``df`` with columns name_tags and name_bag of each pattern, and name_acronyms of those that have ``acronyms``: derived columns stand in their own rows, so that nothing is joined by position. Columns with these names are replaced."""
+    acronyms = acronyms or {}
+    for name, pattern in patterns.items():
+        found = pattern_bag(F.col(text), pattern, acronyms.get(name), width)
+        fields = ("tags", "acronyms", "bag") if name in acronyms else ("tags", "bag")
+        df = df.withColumns({f"{name}_{f}": found[f] for f in fields})
+    return df
+
+
 def chunks(text: Column, size: int = 4000, overlap: int = 400) -> Column:
     """Structs start, end, text of pieces that overlap."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(size - overlap))

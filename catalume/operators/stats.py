@@ -119,6 +119,13 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(rows_n()).where("n > 1").orderBy(F.desc("n"), key)
 
 
+def duplicates_by(df: DataFrame, group: str, key: str) -> DataFrame:
+    """The group and the number of rows of it whose key, not null, more rows of the table have; groups without any are left out. Keys are counted first, by group, so that no task holds all rows of one."""
+    parts = df.where(F.col(key).isNotNull()).groupBy(key, group).agg(rows_n())
+    many = parts.groupBy(key).agg(F.sum("n").alias("__all")).where("__all > 1").select(key)
+    return parts.join(many, key, "left_semi").groupBy(group).agg(F.sum("n").alias("n"))
+
+
 def filled_by(df: DataFrame, group: str) -> DataFrame:
     """The group and the non-null counts of all other columns."""
     return df.groupBy(group).agg(*(F.count(c).alias(c) for c in df.columns if c != group))

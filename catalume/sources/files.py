@@ -55,6 +55,11 @@ def xml_text(xml: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(xml, r"(?s)<\?.*?\?>|<!--.*?-->", " "), r"<[^>]*>", " "))
 
 
+def xml_json(xml: Column, schema: str) -> Column:
+    """An XML document as JSON of the schema's fields; null where it doesn't parse."""
+    return F.to_json(F.from_xml(xml, schema))
+
+
 def export(df: DataFrame, path: str, kind: str = "csv") -> None:
     """All rows as CSV, JSON lines or Parquet. An empty table is an error, as in the catalogue's downloads."""
     if df.isEmpty():

@@ -58,6 +58,12 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+def with_retry(rows: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """``rows`` with `retry`: whether their key is among the failed ones."""
+    mark = failed.select(key).distinct().withColumn("__failed", F.lit(True))
+    return rows.join(mark, key, "left").withColumn("retry", F.col("__failed").isNotNull()).drop("__failed")
+
+
 def in_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """``rows`` with `batch`, numbers of groups of ``size`` in the order of a key."""
     return with_places(rows, key, name="__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")

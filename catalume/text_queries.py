@@ -604,3 +604,43 @@ def _(t):
     slots = ["studies", "date", "country", "design_cohort", "design_any", "outcome_death", "age_numeric", "age_groups", "topic", "intervention_any", "intervention_flu", "design_rct", "outcome_icu"]
     rules = mining.slot_rules({s: [f"{s}?"] for s in slots}, {"topic": ["awareness"]}, {"country": ["Kenya", "Peru"]}, {"flu": ["flu", "influenza"], "hpv": ["hpv"]})
     return mining.slot_counts(mining.mine(part(t, t="'" + told.replace(". ", ".\\n") + "'"), rules, "p_partkey", "t"))
+
+
+# bags of matches
+BAGGED = "repeat('x', p_size) || ' adults ' || repeat('y', p_size) || ' children and adults end'"
+
+
+@query("pattern_bags", """SELECT p_partkey, 'adults, children' AS age_tags, 'AD, children' AS age_acronyms, '' AS none_tags, '[]' AS none_bag,
+'[{"Matched Content":"adults","Text Before":"' || right(repeat('x', p_size) || ' ', 5) || '","Text After":"' || left(' ' || repeat('y', p_size) || ' chi', 5) || '"},'
+|| '{"Matched Content":"children","Text Before":"' || right(' adults ' || repeat('y', p_size) || ' ', 5) || '","Text After":" and "},'
+|| '{"Matched Content":"adults","Text Before":" and ","Text After":" end"}]' AS age_bag FROM part""")
+def _(t):
+    return spans.with_bags(part(t, t=BAGGED), "t", {"age": "adults|children", "none": "zebra"}, {"age": {"adults": "AD"}}, 5).drop("t")
+
+
+@query("medline_records", """SELECT p_partkey::VARCHAR AS pmid, 'A systematic review of ' || p_name AS title, '' AS abstract, 'Li A; ' || p_brand AS authors, 'eng; fre' AS language,
+'10.1/' || p_partkey || '; 10.2/x' AS doi, FALSE AS is_oa FROM part WHERE p_partkey % 3 > 0 AND p_partkey % 2 = 0""")
+def _(t):
+    def rows(title: str, n: int) -> DataFrame:
+        texts = {"PMID": "cast(p_partkey AS string)", "TI": title, "AB": "cast(NULL AS string)", "DP": "'2020'", "JT": "'J'", "PL": "'X'"}
+        arrays = {"AU": "array('Li A', p_brand)", "LA": "if(p_partkey % 2 = 0, array('eng', 'fre'), array('ger'))", "MH": "cast(NULL AS array<string>)", "PT": "array('Journal Article')", "AID": "array('10.1/' || p_partkey || ' [doi]', 'S12 [pii]', '10.2/x')"}
+        return part(t, **texts, **arrays, is_oa="cast(NULL AS boolean)", best_oa_url="cast(NULL AS string)", n=str(n))
+
+    found = ingest.assemble_medline(rows("'later copy: systematic review'", 2).unionByName(rows("if(p_partkey % 3 = 0, 'A trial', 'A systematic review of ' || p_name)", 1)), "n")
+    return found.select("pmid", "title", "abstract", "authors", "language", "doi", "is_oa")
+
+
+@query("duplicates_by_source", "SELECT o_orderstatus AS source, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) GROUP BY 1")
+def _(t):
+    return stats.duplicates_by(t.table("orders").select(F.col("o_orderstatus").alias("source"), "o_custkey"), "source", "o_custkey")
+
+
+@query("retry_flags", "SELECT p_partkey, p_partkey % 3 = 0 AS retry FROM part")
+def _(t):
+    failed = t.table("part").where("p_partkey % 3 = 0").select("p_partkey")
+    return batches.with_retry(t.table("part").select("p_partkey"), failed.unionByName(failed), "p_partkey")
+
+
+@query("xml_as_json", """SELECT p_partkey, '{"a":"' || p_name || '","b":{"c":' || p_size || '}}' AS value FROM part""")
+def _(t):
+    return one(t, lambda c: files.xml_json(c, "a string, b struct<c: int>"), "'<r><a>' || p_name || '</a><b><c>' || p_size || '</c></b></r>'")

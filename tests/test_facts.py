@@ -1,9 +1,11 @@
 """Facts, slot rules and pieces of texts on nulls, empty texts and ties."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from catalume.operators import facts, mining, spans
+from catalume.operators import facts, ingest, mining, spans
 
 
 def values(spark, column, *texts):
@@ -55,3 +57,23 @@ def test_decoys_are_no_positives(spark):
     docs = spark.createDataFrame([(1, "Nine RCTs were included.\nWe screened nine RCTs."), (2, None), (3, "")], "doc_id int, text string")
     found = {(r["slot"], r["positive"]): r["negatives"] for r in mining.mine(docs, rules).collect()}
     assert found == {("design_rct", "Nine RCTs were included."): ["We screened nine RCTs."]}
+
+
+def test_bags_of_odd_texts(spark):
+    """Null texts give nulls, empty ones empty tags; marks of JSON and characters outside ASCII come through."""
+    df = spark.createDataFrame([(1, None), (2, ""), (3, 'é "adults" ü')], "k int, t string")
+    found = {r["k"]: r for r in spans.with_bags(df, "t", {"age": "adults"}, {}, 3).collect()}
+    assert found[1]["age_tags"] is None and found[1]["age_bag"] is None
+    assert (found[2]["age_tags"], found[2]["age_bag"]) == ("", "[]")
+    assert json.loads(found[3]["age_bag"]) == [{"Matched Content": "adults", "Text Before": 'é "', "Text After": '" ü'}]
+    assert spans.with_bags(df, "t", {"age": "adults"}, {"age": {"adults": "AD"}}).where("k = 3").first()["age_acronyms"] == "AD"
+
+
+def test_medline_without_ids(spark):
+    """Records without a PMID count as one, as the empty id; missing arrays are empty texts."""
+    fields = "PMID string, TI string, AB string, DP string, JT string, PL string, AU array<string>, LA array<string>, MH array<string>, PT array<string>, AID array<string>, is_oa boolean, best_oa_url string, n int"
+    rows = [(None, f"t{i}", None, None, None, None, None, ["English"], None, ["Meta-Analysis"], ["", " 10.1/a [doi]"], None, None, i) for i in (2, 1)]
+    df = spark.createDataFrame(rows, fields)
+    found = ingest.assemble_medline(df, "n").collect()
+    assert [(r["pmid"], r["title"], r["authors"], r["doi"]) for r in found] == [("", "t1", "", "10.1/a")]
+    assert ingest.assemble_medline(df.limit(0), "n").isEmpty() and ingest.assemble_medline(df, "n", open_only=True).isEmpty()
