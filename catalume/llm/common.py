@@ -70,11 +70,20 @@ def pack(df: DataFrame, *columns: str, **more: Column) -> DataFrame:
 SALTS = 256
 
 
-def join_spread(rows: DataFrame, told: DataFrame, key: str, salt: Column) -> DataFrame:
+def join_spread(rows: DataFrame, told: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``told``, which has one row a key and reaches each of them, however many share a key: a key's rows are dealt by ``salt`` (a hash of whatever tells them apart) to SALTS tasks. ``told`` is repeated for the salts that a key has, no more than SALTS times nor than the key has rows."""
     salted = rows.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
     each = salted.select(key, "__salt").distinct().join(told, key)
-    return salted.join(each, [key, "__salt"]).drop("__salt")
+    return salted.join(each, [key, "__salt"], how).drop("__salt")
+
+
+#: Rows of a table that are sent to all tasks, some 20 MB for narrow ones; larger tables are joined by a shuffle.
+SENT_ROWS = 200_000
+
+
+def join_told(rows: DataFrame, told: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``told`` (written, narrow, one row a key): sent to all tasks if it has up to SENT_ROWS rows, else by `join_spread`. Rows without a key there go, or stay with ``how`` left."""
+    return rows.join(F.broadcast(told), key, how) if told.count() <= SENT_ROWS else join_spread(rows, told, key, salt, how)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
