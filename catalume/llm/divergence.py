@@ -75,12 +75,23 @@ def run_starts(*columns: pa.Array) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` joined to ones of ROWS rows or a little more."""
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            some.append(b)
+        if sum(x.num_rows for x in some) >= ROWS:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some = []
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+
 def by_term(batches: Iterator[pa.RecordBatch], collapse) -> Iterator[pa.RecordBatch]:
     """The rows of sorted ``batches`` (lang, term, ...) in batches that hold all rows of each of their terms; ``collapse`` joins rows of a run, so that what waits for the next batch stays small."""
     waiting = None
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in gathered(batches):
         if waiting is not None:
             both = pa.Table.from_batches([waiting, b.select(waiting.schema.names).cast(waiting.schema)]).combine_chunks()
             b = both.to_batches()[0]
