@@ -29,7 +29,10 @@ PARTS = (64, 1)
 #: A-Z become a-z; other letters and bytes of characters outside ASCII stay; all else parts terms.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-BLOCKS = "lang string, term string, source string, block int, docs long, n long"
+#: Between a language and a term in the key that is sorted: no term holds it, so that the last one in a key ends the language.
+BETWEEN = b"\0"
+
+BLOCKS = "key string, source string, block int, docs long, n long"
 KEPT = "lang string, term string, n long, sources array<string>, counts array<long>"
 
 
@@ -45,12 +48,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, source), (counts, docs) in found.items():
-            terms = list(counts)
+            terms, prefix = list(counts), lang.encode() + BETWEEN
             for i in range(0, len(terms), ROWS):
                 some = terms[i : i + ROWS]
                 same = lambda x, kind: pa.array([x] * len(some), kind)
-                columns = [same(lang, pa.string()), pa.array(some, pa.binary()).cast(pa.string()), same(source, pa.string()), same(block, pa.int32()), pa.array([docs[t] for t in some], pa.int64()), pa.array([counts[t] for t in some], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "block", "docs", "n"])
+                columns = [pa.array([prefix + t for t in some], pa.binary()).cast(pa.string()), same(source, pa.string()), same(block, pa.int32()), pa.array([docs[t] for t in some], pa.int64()), pa.array([counts[t] for t in some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "source", "block", "docs", "n"])
         found.clear()
 
     for b in batches:
@@ -89,14 +92,14 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def by_term(batches: Iterator[pa.RecordBatch], collapse) -> Iterator[pa.RecordBatch]:
-    """The rows of sorted ``batches`` (lang, term, ...) in batches that hold all rows of each of their terms; ``collapse`` joins rows of a run, so that what waits for the next batch stays small."""
+    """The rows of sorted ``batches`` (key: language and term; and others) in batches that hold all rows of each of their terms; ``collapse`` joins rows of a run, so that what waits for the next batch stays small."""
     waiting = None
     for b in gathered(batches):
         if waiting is not None:
             both = pa.Table.from_batches([waiting, b.select(waiting.schema.names).cast(waiting.schema)]).combine_chunks()
             b = both.to_batches()[0]
         b = collapse(b)
-        last = int(run_starts(b.column("lang"), b.column("term"))[-1])
+        last = int(run_starts(b.column("key"))[-1])
         if last:
             yield b.slice(0, last)
         waiting = b.slice(last)
@@ -105,17 +108,17 @@ def by_term(batches: Iterator[pa.RecordBatch], collapse) -> Iterator[pa.RecordBa
 
 
 def _sources(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Sums of docs and n of each run of (lang, term, source)."""
-    first = run_starts(b.column("lang"), b.column("term"), b.column("source"))
+    """Sums of docs and n of each run of (key, source)."""
+    first = run_starts(b.column("key"), b.column("source"))
     one = b.take(pa.array(first))
     sums = [pa.array(np.add.reduceat(b.column(c).to_numpy(), first)) for c in ("docs", "n")]
-    return pa.RecordBatch.from_arrays([one.column("lang"), one.column("term"), one.column("source"), *sums], ["lang", "term", "source", "docs", "n"])
+    return pa.RecordBatch.from_arrays([one.column("key"), one.column("source"), *sums], ["key", "source", "docs", "n"])
 
 
 def _scan_terms(least_docs: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_term(batches, _sources):
-            first = run_starts(b.column("lang"), b.column("term"))
+            first = run_starts(b.column("key"))
             sizes = np.diff(np.append(first, b.num_rows))
             kept = np.add.reduceat(b.column("docs").to_numpy(), first) >= least_docs
             if not kept.any():
@@ -123,9 +126,9 @@ def _scan_terms(least_docs: int):
             total = np.add.reduceat(b.column("n").to_numpy(), first)[kept]
             rows = b.take(pa.array(np.flatnonzero(np.repeat(kept, sizes))))
             offsets = pa.array(np.append(0, np.cumsum(sizes[kept])).astype(np.int32))
-            heads = b.take(pa.array(first[kept]))
+            langs, terms = zip(*(k.rpartition(BETWEEN.decode())[::2] for k in b.column("key").take(pa.array(first[kept])).to_pylist()))
             lists = [pa.ListArray.from_arrays(offsets, rows.column(c)) for c in ("source", "n")]
-            yield pa.RecordBatch.from_arrays([heads.column("lang"), heads.column("term"), pa.array(total), *lists], ["lang", "term", "n", "sources", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(terms), pa.array(total), *lists], ["lang", "term", "n", "sources", "counts"])
 
     return scan
 
@@ -148,7 +151,7 @@ def _scan_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for b in by_term(batches, lambda b: b):
-        first = run_starts(b.column("lang"), b.column("term"))
+        first = run_starts(b.column("key"))
         sizes = np.diff(np.append(first, b.num_rows))
         begin, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
         code = np.array([names.setdefault(x, len(names)) for x in zip(b.column("lang").to_pylist(), b.column("source").to_pylist())])
@@ -190,7 +193,7 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, term, n (occurrences in the language), sources and counts (of the sources that have it) of the terms that at least ``least_docs`` of a language's documents hold, from ``docs`` (lang, source, text, without nulls)."""
     small_batches(docs.sparkSession)
     blocks = docs.select("lang", "source", "text").mapInArrow(_blocks, BLOCKS)
-    ordered = blocks.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "block")
+    ordered = blocks.repartition("key").sortWithinPartitions("key", "source", "block")
     return ordered.mapInArrow(_scan_terms(least_docs), KEPT)
 
 
@@ -219,7 +222,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     q = probability(F.col("n"), F.col("lang_total"), F.col("terms"))
     rated = materialize(rated.select("lang", "term", "source", "count", probability(F.col("count"), F.col("total"), F.col("terms")).alias("p"), "p0", q.alias("q")), "rated")
 
-    ordered = rated.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    ordered = rated.select(F.concat("lang", F.lit(BETWEEN.decode()), "term").alias("key"), "lang", "source", "p", "p0").repartition("key").sortWithinPartitions("key", "source")
     shared = ordered.mapInArrow(_scan_pairs, "lang string, source string, item string, value long")
     # terms that one of two sources has, as if the other had none: by the few different counts of a source
     each = materialize(rated.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("times"), F.first("p0").alias("p0")), "counts")
