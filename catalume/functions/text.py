@@ -79,10 +79,23 @@ def replace_items(c: Column, mapping: dict[str, str], separator: str = ",") -> C
     return F.array_join(F.transform(split_list(c, separator), lambda x: F.coalesce(table[x], x)), ", ")
 
 
+#: Parts of a Python literal: texts in single and in double quotes, words, all else. Possessive, so that a text of any length is matched in a loop.
+LITERAL_PARTS = r"""(?s)'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[\p{L}_][\p{L}\p{N}_]*+|[^'"\p{L}_]++|['"]"""
+
+
 def repair_json(c: Column) -> Column:
-    """JSON from a Python literal: null for NaN and None, true and false, double quotes."""
-    out = F.regexp_replace(c, r"\bNaN\b|\bNone\b", "null")
-    return F.translate(F.regexp_replace(F.regexp_replace(out, r"\bTrue\b", "true"), r"\bFalse\b", "false"), "'", '"')
+    """JSON from a Python literal: null for NaN and None, true and false, double quotes. Texts are told apart from what stands between them, so that apostrophes, quotes and such words within a text stay."""
+
+    def part(x: Column) -> Column:
+        inner = F.substr(x, F.lit(2), F.length(x) - 2)
+        plain = F.replace(inner, F.lit("\\'"), F.lit("'"))
+        single = F.concat(F.lit('"'), F.regexp_replace(plain, r'(?<!\\)((?:\\\\)*)"', '$1\\\\"'), F.lit('"'))
+        double = F.concat(F.lit('"'), plain, F.lit('"'))
+        first = F.left(x, F.lit(1))
+        whole = F.length(x) > 1
+        return F.when(whole & (first == "'"), single).when(whole & (first == '"'), double).when(x.isin("None", "NaN"), "null").when(x == "True", "true").when(x == "False", "false").otherwise(x)
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(LITERAL_PARTS), F.lit(0)), part), "")
 
 
 def literal_field(c: Column, key: str) -> Column:

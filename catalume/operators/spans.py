@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import cutting, matches, once
 from ..functions.text import replace_items
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -48,14 +49,7 @@ def regex_spans(text: Column, rules: dict[str, str]) -> Column:
     """Spans of all matches of each label's pattern: the gaps between matches and the matches add up to the positions."""
 
     def of_label(label: str, pattern: str) -> Column:
-        steps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            begin = a["at"] + x["gap"]
-            return F.struct((begin + x["size"]).alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), F.lit(label).alias("label")))).alias("out"))
-
-        return F.aggregate(F.filter(steps, lambda x: x["size"].isNotNull()), start, step, lambda a: a["out"])
+        return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label")))
 
     return F.sort_array(F.concat(*(of_label(k, v) for k, v in rules.items())))
 
@@ -92,19 +86,21 @@ def line_chunks(text: Column, size: int = 4000, overlap: int = 400, within: int
     """
     if size <= within + overlap:
         raise ValueError("size must be over within + overlap")
-    n = F.length(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def pieces(cut, n: Column) -> Column:
+        def step(a: Column, _: Column) -> Column:
+            last = a["at"] + size >= n
+            back = F.instr(F.reverse(cut(a["at"] + size - within + 1, a["at"] + size)), "\n")
+            end = F.when(last, n).otherwise(a["at"] + size - back)
+            went = F.struct((end - overlap).alias("at"), last.alias("done"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end")))).alias("out"))
+            return F.when(a["done"], a).otherwise(went)
 
-    def step(a: Column, _: Column) -> Column:
-        last = a["at"] + size >= n
-        back = F.instr(F.reverse(F.substr(text, a["at"] + size - within + 2, F.lit(within - 1))), "\n")
-        end = F.when(last, n).otherwise(a["at"] + size - back)
-        piece = F.struct(a["at"].alias("start"), end.alias("end"), F.substr(text, a["at"] + 1, end - a["at"]).alias("text"))
-        went = F.struct((end - overlap).alias("at"), last.alias("done"), F.concat(a["out"], F.array(piece)).alias("out"))
-        return F.when(a["done"], a).otherwise(went)
+        most = F.floor(n / F.lit(size - within - overlap)).cast("int") + 1
+        ends = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["out"])
+        return F.transform(ends, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), cut(p["start"], p["end"]).alias("text")))
 
-    most = F.floor(n / F.lit(size - within - overlap)).cast("int") + 1
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["out"])
+    return F.when(text.isNotNull(), once(F.length(text), lambda n: cutting(text, lambda cut: pieces(cut, n))))
 
 
 def windows(items: Column, size: int = 256, stride: int = 128) -> Column:
@@ -115,15 +111,14 @@ def windows(items: Column, size: int = 256, stride: int = 128) -> Column:
 
 def best_occurrence(text: Column, phrase: Column, hints: list[str], around: int = 90) -> Column:
     """The start (from 0) of the occurrence of a phrase with the most hint words near it, the first of equals; null if there is none."""
-    gaps = F.split(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(phrase), F.lit(r"\E")), -1)
-    n = F.size(gaps) - 1
-    ends = F.aggregate(gaps, F.array().cast("array<int>"), lambda a, g: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1) + F.length(phrase), F.lit(0)) + F.length(g))))
-    starts = F.slice(ends, 1, F.greatest(n, F.lit(0)))
-    begin = lambda s: F.greatest(s - around, F.lit(0))
-    near = lambda s: F.lower(F.substr(text, begin(s) + 1, s + F.length(phrase) + around - begin(s)))
-    score = lambda s: sum((near(s).contains(h.lower()).cast("int") for h in hints), F.lit(0))
-    best = F.array_max(F.transform(starts, lambda s: F.struct(score(s).alias("hits"), (-s).alias("at"))))
-    return -best["at"]
+    found = F.transform(matches(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(phrase), F.lit(r"\E"))), lambda m: m["start"])
+
+    def scored(cut) -> Column:
+        near = lambda s: F.lower(cut(F.greatest(s - around, F.lit(0)), s + F.length(phrase) + around))
+        hits = lambda text: sum((text.contains(h.lower()).cast("int") for h in hints), F.lit(0))
+        return F.array_max(F.transform(found, lambda s: F.struct(once(near(s), hits).alias("hits"), (-s).alias("at"))))
+
+    return -cutting(text, scored)["at"]
 
 
 def bio_tags(tokens: Column, spans: Column) -> Column:

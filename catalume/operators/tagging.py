@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import inside, matches, once
 from ..functions.numbers import to_int
 from ..functions.tags import long_to_wide
-from ..functions.text import sentences
+from ..functions.text import sentences, squeeze
 
 HEAD = r"(?m)^={3,}\s*(.+?)\s*={3,}\s*$"
 NO_LIMIT = 1_000_000
@@ -155,6 +156,40 @@ def databases(text: Column, vocabulary: dict[str, list[str]]) -> Column:
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
+# Phrases by which a text speaks of a search, and the characters around them in which databases are named.
+SEARCH_PHRASES = (
+    r"\b(systematic\s+)?search(?:es)?\s+(?:were|was)?\s*(?:conducted|performed|carried\s+out)?",
+    r"\b(?:databases?|data\s+sources?)\s+(?:used|searched|included|screened)",
+    r"\bsearch\s+(?:strategy|methodology|approach)",
+    r"\b(?:literature|database)\s+search",
+    r"\b(?:conducted|performed)\s+a\s+(?:database|literature)?\s*search",
+    r"\b(?:screened|searched)\s+(?:databases?|sources)",
+    r"\b(?:electronic|online)\s+databases?",
+    r"\b(?:We)\s+searched?",
+    r"\b(?:searches|strategies)\s+(?:included|used|involved)",
+)
+AROUND_SEARCH = 200
+
+
+def databases_searched(text: Column, vocabulary: dict[str, list[str]], phrases: tuple[str, ...] = SEARCH_PHRASES, width: int = AROUND_SEARCH) -> Column:
+    """The literature databases that a text names near a phrase of searching, by canonical name, sorted, each once.
+
+    ``vocabulary`` has each database's other names; of names that begin at one place the longest counts. A name counts if
+    all of it lies within ``width`` characters of a phrase's ends, in the text in lower case with single spaces. A null text
+    gives null, one without phrases or names an empty array.
+    """
+    names = {n.lower(): canon for canon, others in reversed(vocabulary.items()) for n in [*others, canon]}
+    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    pattern = r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n)))) + r")(?!\w)"
+
+    def found(t: Column) -> Column:
+        around = F.flatten(F.array(*(F.transform(matches(t, f"(?i){p}"), lambda m: F.struct((m["start"] - width).alias("start"), (m["end"] + width).alias("end"))) for p in phrases)))
+        named = F.when(F.size(around) > 0, inside(matches(t, pattern), around)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+        return F.array_sort(F.array_distinct(F.transform(named, lambda m: table[m["value"]])))
+
+    return F.when(text.isNotNull(), once(F.lower(squeeze(text)), found))
+
+
 def country_counts(df: DataFrame, key: str, text: str, countries: list[str]) -> DataFrame:
     """key, country, n from `Country (n)`, `Country (n = x)` and `x from Country`, added up."""
     names = "|".join(map(re.escape, sorted(countries, key=len, reverse=True)))

@@ -30,3 +30,17 @@ def test_dashboard(spark):
     assert json.loads(row["country"]) == [{"country": "X", "n": 2}, {"country": "Y", "n": 1}] and row["journal"] == "[]"
     assert json.loads(row["source"]) == [{"source": "a", "n": 2}, {"source": "b", "n": 1}]
     assert [*stats.dashboard(df.where("false")).first()] == ["[]"] * 5
+
+
+def test_few_values_fill_all_ranges(spark):
+    """50 values, one of them a third of all rows: most ranges have rows, the largest has a few hundredths of them."""
+    df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS v")
+    cuts = numbering.bounds(df, "v")
+    assert len(cuts) == 63 and len(set(cuts)) > 30 and cuts.count(7) > 15
+    plan = numbering.with_places(df, "v")
+    found = plan.collect()
+    assert sorted(r["place"] for r in found) == [*range(20_000)]
+    assert [r["v"] for r in sorted(found, key=lambda r: r["place"])] == sorted(r["v"] for r in found)
+    below = lambda v: sum(c < v for c in cuts)
+    upto = lambda v: sum(c <= v for c in cuts)
+    assert len({x for v in range(50) for x in range(below(v), upto(v) + 1)}) >= 40

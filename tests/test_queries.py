@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from catalume.catalog import TABLES
-from catalume import text_queries  # noqa: F401  adds its queries
+from catalume import review_queries, text_queries  # noqa: F401  they add their queries
 from catalume.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
