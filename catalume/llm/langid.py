@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import let, pack, small_batches
 
-#: The sample, of passages: each text is cut into passages of SAMPLE_WORDS words; of each language so many documents, and of each of them so many passages, both from anywhere by hash. Passages of more characters are none.
+#: The sample, of passages: each text is cut into passages of SAMPLE_WORDS words; of each language so many documents, and of each of them so many passages, both from anywhere by hash. What has more characters is cut again, so that texts without spaces have passages too.
 SAMPLE_DOCS, SAMPLE_PASSAGES, SAMPLE_WORDS, SAMPLE_CHARACTERS = 150, 4, 60, 2000
 #: Languages that a model can have; with more values in lang, fitting is an error.
 LANGUAGES = 1000
@@ -29,10 +29,12 @@ SALTS = (128, 32, 4, 1)
 FEATURES, LEXICON, ROUNDS, STEP, PENALTY = 20_000, 4_000, 20, 0.3, 1e-4
 #: Passages that are joined to one training chain, so that transitions between languages are seen.
 CHAIN = 6
-#: Words of a block in the vectorised forward-backward, words that are scored at once, and words a worker remembers.
+#: Words of a block in the vectorised forward-backward; words that are scored at once and words that a worker remembers, with up to 4 labels: with more labels fewer, so that memory doesn't grow with their square.
 BLOCK, BATCH, MEMO = 32, 200_000, 200_000
+#: Letters of a word at most: a longer run of letters, as in scripts without spaces, is as many words.
+LETTERS = 24
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
 
 def words_of(text: str) -> list[str]:
@@ -40,8 +42,13 @@ def words_of(text: str) -> list[str]:
     return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
+def batch_words(labels: int) -> int:
+    """Words whose steps (labels x labels numbers each) are held at once."""
+    return max(32 * BLOCK, BATCH * 16 // max(4, labels) ** 2)
+
+
 def word_features(word: str) -> Iterator[str]:
-    """Prefixes and suffixes of up to 3 characters, character 2-grams and 3-grams of the whole word, and the word itself as its lexicon entry; one by one, as a word may be as long as a text."""
+    """Prefixes and suffixes of up to 3 characters, character 2-grams and 3-grams of the whole word, and the word itself as its lexicon entry."""
     w = f"<{word}>"
     yield from (f"p{w[:n]}" for n in (2, 3, 4))
     yield from (f"s{w[-n:]}" for n in (2, 3, 4))
@@ -140,12 +147,21 @@ def fit(lines: list[tuple[str, str]]) -> dict:
     squares = [np.full_like(x, 1e-8) for x in (weights, transition, initial)]
     goal = np.eye(k)[gold]
     inner = np.flatnonzero(~starts)
+    # whole chains are worked on together, as many as fit a batch
+    firsts, cuts = np.flatnonzero(starts), [0]
+    for a, b in zip(firsts, [*firsts[1:], len(tokens)]):
+        if b - cuts[-1] > batch_words(k) and a > cuts[-1]:
+            cuts.append(int(a))
+    batches = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(tokens)])]
+    seen_pairs = np.einsum("ni,nj->ij", goal[inner - 1], goal[inner])
     for _ in range(ROUNDS):
         scores = added(rows, weights[columns], len(words))
-        post, pairs = forward_backward(scores[tokens], starts, transition, initial)
+        post, on_pairs = np.empty_like(goal), seen_pairs.copy()
+        for some in batches:
+            post[some], pairs = forward_backward(scores[tokens[some]], starts[some], transition, initial)
+            on_pairs -= pairs[~starts[some]].sum(axis=0)
         by_word = added(tokens, goal - post, len(words))
         gradient = added(columns, by_word[rows], len(index))
-        on_pairs = np.einsum("ni,nj->ij", goal[inner - 1], goal[inner]) - pairs[inner].sum(axis=0)
         on_first = (goal - post)[starts].sum(axis=0)
         for x, g, q in zip((weights, transition, initial), (gradient, on_pairs, on_first), squares):
             g = g / len(tokens) - PENALTY * x
@@ -160,15 +176,17 @@ class Labeller:
     def __init__(self, model: dict):
         self.model = model
         self.memo: dict[str, int] = model.setdefault("memo", {})
-        self.table = model.setdefault("table", np.zeros((MEMO, max(1, len(model["labels"])))))
+        k = max(1, len(model["labels"]))
+        self.table = model.setdefault("table", np.zeros((max(BLOCK, MEMO * 4 // max(4, k)), k)))
+        self.batch = batch_words(k)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
+        memo, most = self.memo, len(self.table)
         fresh = [*dict.fromkeys(w for w in words if w not in memo)]
-        if len(memo) + len(fresh) > MEMO:
+        if len(memo) + len(fresh) > most:
             memo.clear()
             fresh = [*dict.fromkeys(words)]
-            if len(fresh) > MEMO:  # more new words than are remembered: score them in two halves
+            if len(fresh) > most:  # more new words than are remembered: score them in two halves
                 half = len(words) // 2
                 return np.concatenate([self.scores(words[:half]), self.scores(words[half:])])
         if fresh:
@@ -185,7 +203,7 @@ class Labeller:
         return forward_backward(self.scores(words), starts, self.model["transition"], self.model["initial"], neighbours=False)[0]
 
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Posteriors summed up by text, and the texts' numbers of words. Chains of up to BATCH words are worked on at once; a longer text goes in several chains."""
+        """Posteriors summed up by text, and the texts' numbers of words. Chains of up to a batch's words are worked on at once; a longer text goes in several chains, each of which begins as a text does: only the posteriors of the words next to such a cut can differ from those of one chain."""
         total, n = np.zeros((len(texts), max(1, len(self.model["labels"])))), np.zeros(len(texts), np.int64)
         chains: list[list[str]] = []
         owners: list[int] = []
@@ -201,11 +219,11 @@ class Labeller:
         waiting = 0
         for i, text in enumerate(texts):
             words = words_of(text)
-            for j in range(0, len(words), BATCH):
-                chains.append(words[j : j + BATCH])
+            for j in range(0, len(words), self.batch):
+                chains.append(words[j : j + self.batch])
                 owners.append(i)
                 waiting += len(chains[-1])
-                if waiting >= BATCH:
+                if waiting >= self.batch:
                     flush()
                     waiting = 0
         flush()
@@ -218,11 +236,12 @@ def held_out(doc_id):
 
 
 def passages(text, words: int = SAMPLE_WORDS):
-    """An array of the passages of a text, ``words`` words each, without those that are too long or have no letter."""
+    """An array of the passages of a text: ``words`` words or SAMPLE_CHARACTERS characters each, whichever is less, without those that have no letter."""
     every = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     cut = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / words).cast("int")), lambda i: F.array_join(F.slice(ws, i * words + 1, words), " "))
     made = let(every, lambda ws: F.when(F.size(ws) > 0, cut(ws)))
-    return F.filter(made, lambda p: (F.length(p) <= SAMPLE_CHARACTERS) & F.regexp_like(p, F.lit(r"\p{L}")))
+    short = F.flatten(F.transform(made, lambda p: F.regexp_extract_all(p, F.lit(rf"(?s).{{1,{SAMPLE_CHARACTERS}}}"), F.lit(0))))
+    return F.filter(short, lambda p: F.regexp_like(p, F.lit(r"\p{L}")))
 
 
 def train(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, passages_a_doc: int = SAMPLE_PASSAGES) -> dict:

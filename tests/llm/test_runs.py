@@ -12,11 +12,11 @@ def test_features_of_a_whole_run():
 
 
 def test_passages(spark):
-    """Passages cover a text from end to end, whatever its lines; those that are too long or without letters are none."""
+    """Passages cover a text from end to end, whatever its lines; those that are too long are cut, those without letters are none."""
     words = [f"w{i}" for i in range(150)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, "x" * 5000), (3, " 12 34 "), (4, ""), (5, None)], "doc_id long, text string")
     found = {r[0]: r[1] for r in df.select("doc_id", langid.passages(F.col("text"))).collect()}
-    assert found == {1: [" ".join(words[i : i + 60]) for i in (0, 60, 120)], 2: [], 3: [], 4: None, 5: None}
+    assert found == {1: [" ".join(words[i : i + 60]) for i in (0, 60, 120)], 2: ["x" * 2000, "x" * 2000, "x" * 1000], 3: [], 4: None, 5: None}
 
 
 def test_sample_is_bounded_and_stable(spark):
