@@ -2,21 +2,22 @@
 
 All rolling word k-grams of the documents are joined with the k-grams of the license templates. A hit votes for the
 diagonal (its place in the document less its place in the template); a template that stands in a text unchanged puts all
-its votes on one diagonal, one with words left out or put in on neighbouring ones. These are merged, in the document's
-order, as long as the places in the template go on: where they start again, another copy begins. What has enough of a
-template's votes in about its length is a span; of a group that is too long together, each diagonal is judged by itself,
-so that no copy is lost to its neighbours. Phrases are templates of which every k-gram must hit on one diagonal.
+its votes on one diagonal, one with words left out or put in on neighbouring ones. Runs of votes on neighbouring diagonals
+are merged to chains along which the places in the template go on, each run with the chain before it that has most votes:
+what stands between them on other diagonals, such as a quotation, is passed over. What has enough of a template's votes in
+about its length is a span; of chains that overlap the one with the most votes counts. Phrases are templates of which
+every k-gram must hit on one diagonal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, let
 
 #: Words of a k-gram, for phrases and for texts; neighbouring diagonals lie at most GAP apart; the share of a text's k-grams that must hit, and the longest span in template lengths.
-PHRASE_GRAM, TEXT_GRAM, GAP, SHARE, STRETCH = 2, 5, 8, 0.5, 1.5
+PHRASE_GRAM, TEXT_GRAM, GAP, SHARE, STRETCH = 2, 5, 12, 0.5, 1.5
 #: License phrases, and opening or central passages of public license texts, by label.
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
 TEXTS = {
@@ -87,28 +88,50 @@ def scan_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: dict[s
     whatever their names. Spans of different templates may overlap.
     """
     where = ["doc_id", "text_key", "n_words", "template", "label", "phrase", "grams"]
-    k = F.when(F.col("phrase"), PHRASE_GRAM).otherwise(TEXT_GRAM)
     lines = find_hits(docs, phrases, texts).groupBy(*where, "diagonal").agg(F.array_sort(F.collect_set("place")).alias("places"), F.count(F.lit(1)).alias("copies"))
-    lines = lines.select(*where, "diagonal", "copies", F.array_min("places").alias("low"), F.array_max("places").alias("high"), F.size("places").alias("found"))
-    along = Window.partitionBy("doc_id", "text_key", "template").orderBy(F.col("diagonal") + F.col("low"), "diagonal")
-    before = lambda c: F.lag(c).over(along)
-    apart = F.col("phrase") | (F.abs(F.col("diagonal") - before("diagonal")) > GAP) | (F.col("low") <= before("high"))
-    lines = lines.withColumn("__new", F.coalesce(apart, F.lit(True)).cast("int"))
-    lines = lines.withColumn("__group", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    span = F.struct((F.col("diagonal") + F.col("low")).cast("long").alias("first_word"), (F.col("diagonal") + F.col("high") + k).cast("long").alias("end_word"), "found")
-    groups = lines.groupBy(*where, "__group").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(span)).alias("own"))
-    total = F.aggregate("own", F.lit(0), lambda a, x: a + x["found"])
-    merged = F.struct(F.get("own", F.lit(0))["first_word"].alias("first_word"), F.array_max(F.transform("own", lambda x: x["end_word"])).alias("end_word"), total.alias("found"))
-
-    def verified(x: Column) -> Column:
-        short = x["end_word"] - x["first_word"] <= STRETCH * (F.col("grams") + TEXT_GRAM)
-        return F.when(F.col("phrase"), x["found"] == F.col("grams")).otherwise((x["found"] >= SHARE * F.col("grams")) & short)
-
-    groups = groups.withColumn("merged", merged)
-    # a group that is too long together still has its diagonals
-    kept = F.when(verified(F.col("merged")), F.array("merged")).otherwise(F.filter("own", verified))
-    spans = groups.select(*where, "copies", F.explode_outer(F.when(F.col("template").isNotNull(), kept)).alias("x")).where("template IS NULL OR x IS NOT NULL")
-    return spans.select("doc_id", "text_key", "n_words", "copies", "label", "phrase", "x.first_word", "x.end_word", (F.col("x.found") / F.col("grams")).alias("score"))
+    k = F.when(F.col("phrase"), PHRASE_GRAM).otherwise(TEXT_GRAM)
+
+    def run(offset: Column) -> Column:
+        """The places that differ from their index by ``offset``: they follow each other."""
+        own = F.filter("places", lambda p, i: p - i == offset)
+        low = F.get(own, F.lit(0))
+        first = (F.col("diagonal") + low).cast("long")
+        return F.struct(first.alias("first"), F.col("diagonal").cast("int").alias("diagonal"), (first + F.size(own) - 1 + k).alias("end"), low.alias("low"), (low + F.size(own) - 1).alias("high"), F.size(own).alias("score"))
+
+    runs = F.transform(F.array_distinct(F.transform("places", lambda p, i: p - i)), run)
+    groups = lines.select(*where, "copies", F.when(F.col("template").isNotNull(), runs).alias("runs")).groupBy(*where).agg(F.max("copies").alias("copies"), F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
+    found = F.when(F.col("phrase"), F.filter("runs", lambda x: x["score"] == F.col("grams"))).otherwise(best_chains(F.col("runs"), F.col("grams")))
+    spans = groups.select(*where, "copies", F.explode_outer(F.when(F.col("template").isNotNull(), found)).alias("x")).where("template IS NULL OR x IS NOT NULL")
+    return spans.select("doc_id", "text_key", "n_words", "copies", "label", "phrase", F.col("x.first").alias("first_word"), F.col("x.end").alias("end_word"), (F.col("x.score") / F.col("grams")).alias("score"))
+
+
+CHAIN = "array<struct<first:bigint,diagonal:int,end:bigint,low:int,high:int,score:int>>"
+
+
+def best_chains(runs: Column, grams: Column) -> Column:
+    """Disjoint chains of sorted ``runs`` (first, diagonal, end, low, high, score) that hold SHARE of a template's ``grams`` in STRETCH times its length.
+
+    Each run goes on with the chain before it that makes most votes of both (of equal ones the latest begun), or begins one.
+    A chain's next run lies at most GAP diagonals from its last, ends at a later place of the template, and within the
+    length; places that both have count once. Only chains whose last run began within that length can be met, and these
+    are among as many last runs as it has words, twice over.
+    """
+    length = STRETCH * (grams + TEXT_GRAM)
+    last = (2 * length).cast("int")
+
+    def go_on(chains: Column, x: Column) -> Column:
+        near = F.slice(chains, F.greatest(F.size(chains) - last + 1, F.lit(1)), last)
+        fits = F.filter(near, lambda c: (F.abs(c["diagonal"] - x["diagonal"]) <= GAP) & (c["high"] < x["high"]) & (x["end"] - c["first"] <= length))
+        both = F.transform(fits, lambda c: F.struct((c["score"] + x["high"] - F.greatest(c["high"], x["low"] - 1)).alias("score"), c["first"].alias("first")))
+        best = F.array_max(F.concat(both, F.array(F.struct(x["score"].alias("score"), x["first"].alias("first")))))
+        chain = let(best, lambda b: F.struct(b["first"].alias("first"), x["diagonal"].alias("diagonal"), x["end"].alias("end"), x["low"].alias("low"), x["high"].alias("high"), b["score"].alias("score")))
+        return F.concat(chains, F.array(chain))
+
+    none = F.array().cast(CHAIN)
+    good = F.filter(F.aggregate(runs, none, go_on), lambda c: (c["score"] >= SHARE * grams) & (c["end"] - c["first"] <= length))
+    ordered = F.array_sort(F.transform(good, lambda c: F.struct((-c["score"]).alias("rank"), (c["end"] - c["first"]).alias("size"), c.alias("c"))))
+    apart = lambda kept, c: ~F.exists(kept, lambda o: (o["first"] < c["end"]) & (c["first"] < o["end"]))
+    return F.sort_array(F.aggregate(ordered, none, lambda kept, x: F.when(apart(kept, x["c"]), F.concat(kept, F.array(x["c"]))).otherwise(kept)))
 
 
 def op2_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
