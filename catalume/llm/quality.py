@@ -13,23 +13,30 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 KEEP = 0.5
 #: The end of a sentence, separators of navigation bars, symbols, and phrases of boilerplate lines (lower case).
 ENDS = r"[.!?:;…。！？][\"'”’»)\]]*([ \t-\r]|\z)"
-BARS = "[|»›•·]"
+BARS = "[|›•·]"
 SYMBOLS = "[#*$%&|<>]"
-BOILERPLATE = (
-    "javascript|cookie policy|use of cookies|privacy policy|terms of use|terms of service|all rights reserved|lorem ipsum|click here|"
-    "sign up|log in|subscribe to our|add to cart|skip to content|share on facebook|powered by"
+STOCK = (
+    "javascript|enable cookies|cookie policy|use of cookies|uses cookies|accept all cookies|privacy policy|privacy notice|terms of use|terms of service|terms and conditions|"
+    "all rights reserved|lorem ipsum|click here|read more|sign up|sign in|log in|log out|forgot your password|create an account|subscribe to our|our newsletter|"
+    "add to cart|add to basket|checkout|skip to content|skip to main content|back to top|share on facebook|share on twitter|follow us|powered by|"
+    "datenschutzerklärung|alle rechte vorbehalten|nutzungsbedingungen|hier klicken|mehr erfahren|in den warenkorb|zum inhalt springen|"
+    "politique de confidentialité|tous droits réservés|mentions légales|cliquez ici|en savoir plus|ajouter au panier|"
+    "política de privacidad|todos los derechos reservados|haga clic aquí|términos de uso|añadir al carrito|informativa sulla privacy|tutti i diritti riservati"
 )
-#: Most symbols a hundred characters, bars a line, and exclamation marks in a row, of a good line; most capitals in a hundred letters of a line with over 10 letters.
-MOST_SYMBOLS, MOST_BARS, MOST_CAPITALS = 5, 2, 60
+#: A stock phrase stands as whole words.
+BOILERPLATE = rf"(^|[^\p{{L}}\p{{N}}])({STOCK})($|[^\p{{L}}\p{{N}}])"
+#: Most symbols a hundred characters of a good line; bars that any line may have, and words for each bar of a line with more; most capitals in a hundred letters of a line with over 10 letters.
+MOST_SYMBOLS, MOST_BARS, BAR_WORDS, MOST_CAPITALS = 5, 2, 10, 60
+IN_WORDS = SPACES.replace("[", "[^")
 
 
 def good_line(line: Column) -> Column:
-    """Whether a line passes: a sentence ends in it (punctuation), has few bars (navigation), few symbols and capitals and no stock phrase (boilerplate)."""
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+    """Whether a line passes: a sentence ends in it (punctuation), has few bars for its words (navigation), few symbols and capitals and no stock phrase (boilerplate)."""
+    letters, capitals = F.regexp_count(line, F.lit(r"\p{L}")), F.regexp_count(line, F.lit(r"\p{Lu}"))
+    bars = F.regexp_count(line, F.lit(BARS))
     return (
         F.regexp_like(line, F.lit(ENDS))
-        & (F.regexp_count(line, F.lit(BARS)) <= MOST_BARS)
+        & ((bars <= MOST_BARS) | (bars * BAR_WORDS <= F.regexp_count(line, F.lit(IN_WORDS))))
         & (F.regexp_count(line, F.lit(SYMBOLS)) * 100 <= F.length(line) * MOST_SYMBOLS)
         & ~((letters > 10) & (capitals * 100 > letters * MOST_CAPITALS))
         & ~F.regexp_like(F.lower(line), F.lit(BOILERPLATE))
@@ -76,7 +83,7 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept", "clean_text")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words_in = lambda x: F.regexp_count(x, F.lit(SPACES.replace("[", "[^")))
+    words_in = lambda x: F.regexp_count(x, F.lit(IN_WORDS))
     rows = pack(df, text=body, words=space_words(body), lines=worded(F.split(body, "\n", -1))).withColumn("good", F.filter("lines", good_line))
     rows = rows.select(
         *(F.col(f"row.`{c}`") for c in df.columns if c not in made),
@@ -112,7 +119,7 @@ m AS (
          coalesce(c.n, 0)::BIGINT AS n_repeat_words,
          (len(words) - coalesce(list_sum(list_transform(list_filter(lines, lambda x:
             regexp_matches(x, '{ENDS.replace("'", "''")}')
-            AND len(regexp_extract_all(x, '{BARS}')) <= {MOST_BARS}
+            AND (len(regexp_extract_all(x, '{BARS}')) <= {MOST_BARS} OR len(regexp_extract_all(x, '{BARS}')) * {BAR_WORDS} <= len(regexp_extract_all(x, '[^ \t-\r]+')))
             AND len(regexp_extract_all(x, '{SYMBOLS}')) * 100 <= length(x) * {MOST_SYMBOLS}
             AND NOT (length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) > 10
                      AND length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) * 100 > length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) * {MOST_CAPITALS})
