@@ -132,18 +132,21 @@ def disclosing(texts: DataFrame, total: float) -> DataFrame:
 
     share = log2(N * both / (df(entity) * df(term))) / log2(N / df(entity)), with counts over all texts. An entity of a
     single text has every term of that text with it, so that only the others' pairs with terms are made and counted; the
-    single ones of a text go as one. Terms that are too frequent for any share above the threshold are left out first.
+    single ones of a text go as one, and so do those that stand in the same texts, since they have the same shares: sets of
+    texts are told apart by their number and 128 bits of hashes. Terms that are too frequent for any share above the threshold are left out first.
     """
     held = materialize(texts.where(F.size("entities") > 0), "held")
     owners = held.select("key", F.explode("entities").alias("entity"))
-    counted = owners.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    # the texts of an entity, as a set
+    alike = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    counted = owners.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"), *alike)
     often = float(counted.agg(F.max("of_entity")).first()[0] or 0)
     most = total ** (1 - GENERALISE) * often**GENERALISE * (1 + 1e-9)
     terms = materialize(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("of_term")).where(F.col("of_term") <= most), "terms")
-    shared = materialize(counted.where("of_entity > 1"), "entities")
+    shared = materialize(counted.where("of_entity > 1").select("entity", "of_entity", F.struct("of_entity", "h1", "h2").alias("group")), "entities")
     known = owners.join(shared, "entity", "left")
     single = known.where("of_entity IS NULL").select("key").distinct()
-    several = known.where("of_entity IS NOT NULL").select("key", "entity")
+    several = known.where("of_entity IS NOT NULL").select("key", "group").distinct()
 
     def share(both: Column, of_entity: Column) -> Column:
         own = F.log2(F.lit(total) / of_entity)
@@ -151,10 +154,10 @@ def disclosing(texts: DataFrame, total: float) -> DataFrame:
 
     one = F.lit(1.0)
     alone = held.join(single, "key", "left_semi").select("key", F.explode("terms").alias("term")).join(terms, "term").select("key", "term", share(one, one).alias("share"))
-    pairs = several.join(held.select("key", "terms"), "key").select("key", "entity", F.explode("terms").alias("term"))
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    rated = both.join(terms, "term").join(shared, "entity").select("entity", "term", share(F.col("both"), F.col("of_entity")).alias("share")).where(F.col("share") >= GENERALISE)
-    rows = alone.where(F.col("share") >= GENERALISE).unionByName(pairs.join(rated, ["entity", "term"]).select("key", "term", "share"))
+    pairs = several.join(held.select("key", "terms"), "key").select("key", "group", F.explode("terms").alias("term"))
+    both = pairs.groupBy("group", "term").agg(F.count(F.lit(1)).alias("both"))
+    rated = both.join(terms, "term").select("group", "term", share(F.col("both"), F.col("group.of_entity")).alias("share")).where(F.col("share") >= GENERALISE)
+    rows = alone.where(F.col("share") >= GENERALISE).unionByName(pairs.join(rated, ["group", "term"]).select("key", "term", "share"))
     rows = rows.groupBy("key", "term").agg(F.max("share").alias("share"))
     marks = materialize(rows.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("marks")), "marks")
     discard(terms, shared, held)
@@ -166,7 +169,8 @@ def find_personal(docs: DataFrame, *columns: str) -> DataFrame:
 
     ``base`` has start, rank, end, kind, value; ``terms`` start, end, kind (`general` or `removed`), by start. Both are empty
     for null and empty texts. Equal texts get equal spans and count as one; an empty table gives no rows. A text of any
-    length or number of entities is read whole, in time that grows little faster than it. Patterns are searched once, where
+    length or number of entities is read whole, in time that grows little faster than it, as long as its entities stand in
+    few different sets of texts. Patterns are searched once, where
     rows are read; then only hashes of terms are shuffled, and the texts with entities to their marks.
     """
     text = F.coalesce("text", F.lit(""))

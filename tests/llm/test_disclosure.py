@@ -108,6 +108,21 @@ def test_many_entities_in_a_text(spark):
     assert row["n_email"] == 20_000 and time.time() - began < 90
 
 
+def test_many_shared_entities(spark):
+    """Two texts with the same 20,000 addresses and 20,000 terms, and others that share few of them; a smaller set of the same kind by hand."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    def texts(n):
+        both = [f"{name(i)} u{i}@example.org" for i in range(n)]
+        return [" ".join(both), " ".join(both) + " again", " ".join(both[: n // 2]) + " half u0@example.org", "u1@example.org alone with aaaa", *(f"plain {name(i)} text" for i in range(40))]
+
+    small = texts(60)
+    assert marked(spark, small) == marked_by_hand(small)
+    began = time.time()
+    rows = pii.op1_pii(spark, spark.createDataFrame([*enumerate(texts(20_000))], "doc_id long, text string")).where("doc_id < 2").collect()
+    assert [r["n_email"] for r in rows] == [20_000] * 2 and rows[0]["n_terms"] > 0 and time.time() - began < 90
+
+
 def test_odd_rows_are_sanitised(spark, odd, odd_rows):
     """Spans are cut out of texts of any length at the right places."""
     out = {(r["doc_id"], r["text"]) for r in pii.sanitise(odd.select("doc_id", "text")).collect()}
