@@ -23,7 +23,7 @@ from .common import discard, join_told, materialize, small_batches
 #: Documents that a kept term needs in its language, ranks of part `term`, and the scale of probabilities.
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Terms of all groups that a task holds before it passes them on, rows of a batch it passes on, and pairs worked on at once.
-HELD, ROWS, PAIRS = 300_000, 10_000, 1 << 20
+HELD, ROWS, PAIRS = 600_000, 10_000, 1 << 20
 #: Parts of a group in which terms are ranked, one level after another.
 PARTS = (64, 1)
 #: A-Z become a-z; other letters and bytes of characters outside ASCII stay; all else parts terms.
