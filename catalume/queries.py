@@ -53,7 +53,7 @@ def _(t):
     return t.table("nation").select("n_nationkey", "n_name", "n_regionkey")
 
 
-@query("column_info")
+@query("column_info", "SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(column_type) END AS type, TRUE AS nullable, (row_number() OVER () - 1)::INTEGER AS position FROM (DESCRIBE lineitem)")
 def _(t):
     return column_info(t.table("lineitem"))
 
@@ -387,7 +387,10 @@ def _(t):
     return filters.discover(records(t))
 
 
-@query("tag_filters")
+@query("tag_filters", """
+WITH cells AS (SELECT unnest(string_split(p_name, ' ')) AS w, lower(p_type) AS t FROM part)
+SELECT 'topic' AS category, 'vpd' AS subgroup, 'name' AS term, 'topic__hash__vpd__hash__name' AS column, list_sort(list(DISTINCT w || ':' || left(w, 3))) AS synonyms FROM cells
+UNION ALL SELECT 'outcome', 'kind', 'type', 'outcome__hash__kind__hash__type', list_sort(list(DISTINCT t || ':' || left(t, 4))) FROM cells""")
 def _(t):
     return filters.tag_filters(tagged_parts(t))
 
@@ -528,7 +531,11 @@ def _(t):
     return t.table("pages").select("page_id", F.nullif(F.regexp_extract("url", r"(\d{3,4})", 1), F.lit("")).try_cast("int").alias("number"))
 
 
-@query("html_titles")
+@query("html_titles", """
+SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title,
+  len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="[^"]*"')) AS links, len(regexp_extract_all(html, '(?i)<table[\\s/>]')) AS tables, len(regexp_extract_all(html, '(?i)<h[1-4][\\s>]')) AS headings,
+  length(trim(regexp_replace(list_reduce(list_prepend(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<noscript\\b.*?</noscript\\s*>|<footer\\b.*?</footer\\s*>|<!--.*?-->|<[^>]*>', ' ', 'g'), ['&lt;', '&gt;', '&quot;', '&#39;', '&nbsp;', '&amp;']), lambda a, b: replace(a, b, CASE b WHEN '&nbsp;' THEN ' ' ELSE '*' END)), '\\s+', ' ', 'g'))) AS text_length
+FROM pages""")
 def _(t):
     return t.table("pages").select("page_id", html.title(F.col("html")).alias("title"), F.size(html.links(F.col("html"))).alias("links"), F.size(html.tables(F.col("html"))).alias("tables"), F.size(html.headings(F.col("html"))).alias("headings"), F.length(text.html_text(F.col("html"))).alias("text_length"))
 
@@ -557,7 +564,10 @@ def _(t):
     return tagging.tag_columns(tagging.tag_terms(t.table("documents"), TERMS), TERMS)
 
 
-@query("sentence_term_counts")
+@query("sentence_term_counts", """
+WITH parts AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents),
+words AS (SELECT doc_id, ' ' || regexp_replace(lower(sentence), '[^\\p{L}\\p{N}_]+', ' ', 'g') || ' ' AS sentence FROM parts)
+SELECT doc_id, code, count(*) AS n FROM words, (VALUES ('the', 'the', 'the'), ('der', 'der', 'und')) v(code, a, b) WHERE contains(sentence, ' ' || a || ' ') OR contains(sentence, ' ' || b || ' ') GROUP BY ALL""")
 def _(t):
     return tagging.sentence_counts(t.table("documents"), [("the", "the"), ("der", "der"), ("und", "der")])
 
@@ -588,7 +598,10 @@ def _(t):
     return retrieval.top_k(rows.where("vec_id % 20 = 0"), rows, 5).select("query", "vec_id", "rank")
 
 
-@query("ir_map_at_k")
+@query("ir_map_at_k", """
+WITH near AS (SELECT a.vec_id AS query, b.vec_id, (a.label = b.label)::INT AS hit, row_number() OVER w AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 WINDOW w AS (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) DESC, b.vec_id) QUALIFY rank <= 10),
+hits AS (SELECT query, rank, coalesce(hit, 0) AS hit, sum(coalesce(hit, 0)) OVER (PARTITION BY query ORDER BY rank) AS found FROM near)
+SELECT cutoff, round(avg(ap), 6) AS map_at_k FROM (SELECT cutoff, query, sum(hit * found / rank::DOUBLE) / greatest(sum(hit), 1) AS ap FROM hits, (VALUES (1), (3), (5), (10)) c(cutoff) WHERE rank <= cutoff GROUP BY ALL) GROUP BY cutoff""")
 def _(t):
     rows = t.table("embeddings")
     near = retrieval.top_k(rows.where("vec_id % 20 = 0"), rows, 10).join(rows.select("vec_id", "label"), "vec_id")
@@ -612,7 +625,12 @@ def _(t):
     return qa.exact_split(t.table("documents").select("doc_id"), "doc_id", {"train": 0.7, "dev": 0.15, "test": 0.15}, "7")
 
 
-@query("token_f1")
+@query("token_f1", """
+WITH said AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\b(a|an|the)\\b', ' ', 'g'), '[^\\w\\s%./=-]', ' ', 'g'), '\\s+', ' ', 'g')) AS said FROM conversations WHERE turn < 2),
+pairs AS (SELECT conv_id, g.said AS gold, f.said AS found FROM said g JOIN said f USING (conv_id) WHERE g.turn = 0 AND f.turn = 1),
+bags AS (SELECT conv_id, gold, found, list_filter(string_split(gold, ' '), lambda x: x <> '') AS g, list_filter(string_split(found, ' '), lambda x: x <> '') AS p FROM pairs),
+shared AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS n FROM bags)
+SELECT conv_id, round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 WHEN n = 0 THEN 0 ELSE 2 * (n / len(p)) * (n / len(g)) / (n / len(p) + n / len(g)) END, 6) AS f1, (gold = found)::INT::DOUBLE AS em FROM shared""")
 def _(t):
     a, b = t.table("conversations").where("turn = 0"), t.table("conversations").where("turn = 1")
     rows = a.select("conv_id", F.col("text").alias("gold")).join(b.select("conv_id", F.col("text").alias("found")), "conv_id")

@@ -511,6 +511,30 @@ def _(t):
     return one(t, lambda c: F.get(html.tables(c), F.lit(0)), "'<p>x</p><table class=\"a\"><tr><th>name</th><th>size</th></tr><tr><td><b>' || p_name || '</b></td><td>' || p_size || '</td></tr></table>'")
 
 
+#: A page with a table in a table's cell, a tag in an attribute and tags in a comment and a script.
+NESTED = "'<!-- <table><tr> --><table title=\"a > b\"><tr><th>name</th><th>more</th></tr><tr><td>' || p_name || '</td><td>in <TABLE><tr><td>' || p_size || '</td><td>' || p_brand || '</td></tr></TABLE> end</td></tr></table><script>\"</table>\"</script><p>between</p></table><table><tr><td>' || p_type || '</td></tr></table>'"
+
+
+@query("html_nested_tables", """
+SELECT p_partkey, no, value FROM part, LATERAL (VALUES
+  (0, 'name' || chr(9) || 'more' || chr(10) || p_name || chr(9) || 'in ' || p_size || ' ' || p_brand || ' end' || chr(9) || p_size || chr(9) || p_brand || chr(10) || p_size || chr(9) || p_brand),
+  (1, p_size || chr(9) || p_brand), (2, p_type)) v(no, value)""")
+def _(t):
+    return part(t, t=NESTED).select("p_partkey", F.posexplode(html.tables(F.col("t"))).alias("no", "value"))
+
+
+@query("html_numbered_tables", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '===== Table 1 =====' || chr(10) || p_size || chr(10) || chr(10) ELSE '' END || '===== Table 2 =====' || chr(10) || p_brand AS value FROM part")
+def _(t):
+    return one(t, html.numbered_tables, "'<table>' || CASE WHEN p_size % 2 = 0 THEN '<tr><td>' || p_size || '</td></tr>' ELSE '' END || '</table><table><tr><td>' || p_brand || '</td></tr></table>'")
+
+
+@query("html_select", "SELECT p_partkey, i AS item_no, p_name AS title, '/p/' || i AS link, 'a ' || p_size || ' b ' || i AS body, CASE WHEN i = 1 THEN p_brand END AS brand FROM part, (VALUES (0), (1)) v(i)")
+def _(t):
+    item = lambda i, more: f"'<div id=i{i} class=\"r item\"><h3 class=t><span>no</span><a href=\"/p/{i}\">' || p_name || '</a></h3><div class=body>a <div><div>' || p_size || '</div></div> b {i}</div>{more}</div>'"
+    rows = part(t, html=f"'<div class=items>' || {item(0, '')} || {item(1, '<b class=brand>\' || p_brand || \'</b>')} || '</div></div>'")
+    return html.select_records(rows, "div.item", {"title": "h3.t a", "link": "h3.t a@href", "body": "div.body", "brand": "b.brand"})
+
+
 @query("html_records", "SELECT p_partkey, i AS item_no, p_name || ' ' || i AS title FROM part, (VALUES (0), (1)) v(i)")
 def _(t):
     rows = part(t, html="'<div class=r><h3>' || p_name || ' 0</h3></div><div class=r><h3>' || p_name || ' 1</h3></div>'")
