@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for each node of ``links`` (u, v, both long): root is the smallest node that is reachable.
+    """node, root for each node of ``links`` (u, v, both of one type of whole numbers): root is the smallest node that is reachable.
 
     Links may repeat and point either way. Every round writes its links to the shared folder; it ends when they stay as
     they are, each node then being linked to its root alone. Only a count and a checksum come to the driver.

@@ -222,8 +222,11 @@ def copy_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def text_names(docs: DataFrame) -> tuple[Column, Column]:
-    """A text's key, and a row's name among those with equal texts."""
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("name")
+    """A text's key, and a row's name among those with equal texts. The key is 120 bits of the text's MD5 as a whole number, so that different texts don't share one at any size and keys are still compared and aggregated as numbers."""
+    digest = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    half = lambda at: F.conv(F.substr(digest, F.lit(at), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    key = half(1) * F.lit(16**15).cast("decimal(20,0)") + half(16)
+    return key.cast("decimal(38,0)").alias("text_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("name")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
