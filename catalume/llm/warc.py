@@ -88,6 +88,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, chunk_bytes: int
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Segment-Number", F.when(F.col("__of") > 1, F.col("__no") + 1)),
         line("WARC-Segment-Origin-ID", F.when(~first, name(F.col("__id")))),
+        line("WARC-Segment-Total-Length", F.when((F.col("__of") > 1) & (F.col("__no") + 1 == F.col("__of")), F.col("payload_bytes") + len(HTTP))),
         line("X-Payload-Length", F.col("payload_bytes")),
         line("X-Page-ID", F.col("page_id")),
         line("X-Refers-To-Page", F.col("refers_to")),

@@ -1,6 +1,8 @@
 """A version line at the end of a payload or of a chunk."""
 
+import gzip
 import hashlib
+import re
 
 import pytest
 from catalume.llm import warc
@@ -16,6 +18,21 @@ def test_version_at_an_end(spark, tmp_path, html):
     assert found == {1: (len(raw), hashlib.sha1(raw).hexdigest()), 2: (5, hashlib.sha1(b"plain").hexdigest())}
 
 
+@pytest.mark.parametrize("size", [0, 31, 32, 33, 64, 200])
+def test_total_length_of_segments(spark, tmp_path, size):
+    """The last segment of a record, and no other, has the length of all its segments' blocks."""
+    pages = spark.createDataFrame([(1, "http://a.example/", "x" * size)], "page_id long, url string, html string")
+    warc.write_warc(pages, f"{tmp_path}/w", chunk_bytes=32)
+    text = b"".join(gzip.decompress(f.read_bytes()) for f in sorted(tmp_path.glob("w/*.gz"))).decode()
+    heads = [head for head in re.findall(r"WARC/1\.1\r\n.*?\r\n\r\n", text, re.S)]
+    field = lambda name: [int(m[1]) if (m := re.search(rf"\r\n{name}: (\d+)\r\n", h)) else None for h in heads]
+    lengths, numbers, totals = field("Content-Length"), field("WARC-Segment-Number"), field("WARC-Segment-Total-Length")
+    if size <= 32:
+        assert numbers == totals == [None]
+    else:
+        assert numbers == [*range(1, len(heads) + 1)] and totals == [*[None] * (len(heads) - 1), sum(lengths)]
+
+
 def test_popular_payload(spark, tmp_path, none):
     """Many pages of one payload, null and repeated ids, and columns whose names operators use."""
     body = "<p>" + "popular " * 200
