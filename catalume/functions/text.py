@@ -113,9 +113,10 @@ def plain_hyphens(c: Column) -> Column:
 
 
 def answer_normal(c: Column) -> Column:
-    """Lower case, no articles, no marks but `%./=-`, single spaces."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(c), r"\b(a|an|the)\b", " "), r"[^\w\s%./=-]", " ")
-    return squeeze(out)
+    """Lower case, no articles, no marks but `%./=-`, single spaces. Letters and digits are those of any script."""
+    word = r"\p{L}\p{N}_"
+    out = F.regexp_replace(F.lower(c), rf"(?<![{word}])(a|an|the)(?![{word}])", " ")
+    return squeeze(F.regexp_replace(out, rf"[^{word}\s%./=-]", " "))
 
 
 def html_text(c: Column) -> Column:

@@ -626,7 +626,7 @@ def _(t):
 
 
 @query("token_f1", """
-WITH said AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\b(a|an|the)\\b', ' ', 'g'), '[^\\w\\s%./=-]', ' ', 'g'), '\\s+', ' ', 'g')) AS said FROM conversations WHERE turn < 2),
+WITH said AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '(^|[^\\p{L}\\p{N}_])(a|an|the)([^\\p{L}\\p{N}_]|$)', '\\1 \\3', 'g'), '(^|[^\\p{L}\\p{N}_])(a|an|the)([^\\p{L}\\p{N}_]|$)', '\\1 \\3', 'g'), '[^\\p{L}\\p{N}_\\s%./=-]', ' ', 'g'), '\\s+', ' ', 'g')) AS said FROM conversations WHERE turn < 2),
 pairs AS (SELECT conv_id, g.said AS gold, f.said AS found FROM said g JOIN said f USING (conv_id) WHERE g.turn = 0 AND f.turn = 1),
 bags AS (SELECT conv_id, gold, found, list_filter(string_split(gold, ' '), lambda x: x <> '') AS g, list_filter(string_split(found, ' '), lambda x: x <> '') AS p FROM pairs),
 shared AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS n FROM bags)

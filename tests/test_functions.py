@@ -50,7 +50,7 @@ def test_clean(on):
     assert on([" 2000 , x,, "], text.split_list) == [["2000", "x"]]
     assert on(["One. Two? Three"], text.sentences) == [["One.", "Two?", "Three"]]
     assert on(["<head><title>t</title></head><p>a &amp; b</p><script>x()</script>"], text.html_text) == ["a & b"]
-    assert on(["The  Cat, a dog!"], text.answer_normal) == ["cat dog"]
+    assert on(["The  Cat, a dog!", "ña é a the à-a, Öl"], text.answer_normal) == ["cat dog", "ña é à- öl"]
     assert on(["camelCaseWord"], text.split_camel) == ["camel Case Word"]
 
 
