@@ -38,6 +38,9 @@ TYPED = {
     "nrsi": r"\b([A-Za-z][A-Za-z\- ]+|\d[\d,]*)\s+(?:non[-\s]?randomi[sz]ed\s+stud(?:y|ies)|observational\s+stud(?:y|ies))\b",
 }
 COUNTRIES = r"\b(?:span|from)\s+([A-Za-z][A-Za-z\-\s]*|\d[\d,]*)\s+countries?\b"
+#: Words that a clause must have for a pattern: they are looked for first, as the words before a noun take long to try at each place of a long clause.
+NOUNS = {k: p.partition(r"\s+")[2] for k, p in TYPED.items()}
+CRITERIA, COUNTED, INCLUDING, REGION = r"inclusion\s+criteria", r"(?:stud(?:y|ies)|articles?|trials?)\b", r"\b(?:included|analy[sz]ed|synthesi[sz]ed|meta-?analy[sz]ed|used for analysis|for data extraction|in the review)\b", r"\bcountr"
 #: What a clause's score gains where it has a pattern: the lowest score wins.
 SCORES = ((r"\b(final|overall)\b", -6), (r"\bin this review\b", -5), (r"\brepresenting\s+\d", -3), (r"\bmet(?:ting)? inclusion criteria\b", 2), (DECOYS, 6))
 
@@ -93,12 +96,12 @@ def _all(clauses: Column, patterns: tuple[str, ...], field: str) -> Column:
 
 def _every(clauses: Column, pattern: str, field: str) -> Column:
     of = lambda c: F.transform(F.regexp_extract_all(c, F.lit(f"(?i){pattern}"), F.lit(0)), lambda m: _candidate(c, m, pattern, field, False))
-    return F.filter(F.flatten(F.transform(clauses, of)), lambda x: x["articles"].isNotNull())
+    return F.filter(F.flatten(F.transform(F.filter(clauses, lambda c: _has(c, CRITERIA)), of)), lambda x: x["articles"].isNotNull())
 
 
 def _first_of(clauses: Column, patterns: tuple[str, ...], field: str) -> Column:
     """A candidate for the first match of each clause without decoys; of the first pattern that matches."""
-    rest = F.filter(clauses, lambda c: ~_has(c, DECOYS))
+    rest = F.filter(clauses, lambda c: _has(c, INCLUDING) & _has(c, COUNTED) & ~_has(c, DECOYS))
 
     def of(c: Column) -> Column:
         out = F.lit(None)
@@ -109,9 +112,9 @@ def _first_of(clauses: Column, patterns: tuple[str, ...], field: str) -> Column:
     return F.filter(F.transform(rest, of), lambda x: x["articles"].isNotNull())
 
 
-def _typed(clauses: Column, pattern: str) -> Column:
+def _typed(clauses: Column, pattern: str, noun: str) -> Column:
     """The number of the first clause that speaks of included studies and has one."""
-    told = F.filter(clauses, lambda c: F.lower(c).contains("stud") | (~_has(c, DECOYS) & (_has(c, INCLUSION_VERBS) | _has(c, INCLUDED_STUDIES))))
+    told = F.filter(F.filter(clauses, lambda c: _has(c, noun)), lambda c: F.lower(c).contains("stud") | (~_has(c, DECOYS) & (_has(c, INCLUSION_VERBS) | _has(c, INCLUDED_STUDIES))))
     found = F.transform(told, lambda c: F.struct(loose_int(_group(c, pattern, 1)).alias("n"), c.alias("clause")))
     return F.get(F.filter(found, lambda x: x["n"].isNotNull()), F.lit(0))
 
@@ -130,11 +133,11 @@ def included_counts(text: Column) -> Column:
     none = F.array().cast("array<struct<score:int,size:int,articles:bigint,studies:bigint,field:string,clause:string>>")
     where = lambda words, found: F.when(_has(text, words), found).otherwise(none)
     final = where(r"(?:final|overall)\s+(?:number|count)|included\s+in\s+this\s+review", _all(F.concat(clauses, F.array(text)), (FINAL, IN_REVIEW), "studies.final"))
-    meeting = where(r"inclusion\s+criteria", _every(clauses, MEETING, "studies.inclusion_criteria"))
+    meeting = where(CRITERIA, _every(clauses, MEETING, "studies.inclusion_criteria"))
     generic = where(r"stud(?:y|ies)|articles?|trials?", _first_of(clauses, (GENERIC, GENERIC_BEFORE), "studies.generic"))
     chosen = F.coalesce(_best(final), _best(meeting), _best(generic))
-    typed = F.struct(*(F.when(_has(text, p), _typed(clauses, p)).alias(k) for k, p in TYPED.items()))
-    countries = F.when(_has(text, COUNTRIES), _typed_any(clauses, COUNTRIES))
+    typed = F.struct(*(F.when(_has(text, NOUNS[k]), _typed(clauses, p, NOUNS[k])).alias(k) for k, p in TYPED.items()))
+    countries = F.when(_has(text, REGION), _typed_any(F.filter(clauses, lambda c: _has(c, REGION)), COUNTRIES))
 
     def assembled(found: Column) -> Column:
         zero = F.lit(0).cast("long")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import dates, text
-from .operators import facts, included, phrases, tagging
+from .operators import facts, included, phrases, record, tagging
 from .queries import query
 from .streaming import attempts, pages
 from .text_queries import one, part
@@ -72,6 +72,31 @@ def _(t):
     return facts.with_codes(t.table("nation").select("n_nationkey", "n_name"), "n_name", {"NATION_3": 404, "NATION_7": 604, "NATION_404": 1}).select("n_nationkey", "id")
 
 
+# one record a text; each third of the texts tells other facts
+RECORD = """'We searched Embase until May 2021. The final number of articles included in this review was ' || (p_size + 10) || '.' || CASE p_partkey % 3
+WHEN 0 THEN ' In total, ' || p_size || ' RCTs and 4 cohort studies were pooled.'
+WHEN 1 THEN ' Awareness of HPV grew. Kenya (' || p_size || '), Mali (2) and Kenya (3) took part, as did China (n = 1,200).'
+ELSE ' Adolescents aged 10 to ' || (p_size % 40 + 12) || ' years in Europe and nurses had 5 mg versus placebo.' END"""
+WORDS = record.Vocabulary(
+    topics={"kaa": ["knowledge", "awareness"]}, outcomes={"death": ["death", "mortality"]}, diseases={"hpv": ["HPV"]}, vaccine_options={"quad": ["quadrivalent"]}, age_groups={"ado_10__17": ["adolescents"]},
+    specific_groups={"hcw": ["nurses"]}, immune_status={"low": ["immunocompromised"]}, regions=["Europe", "Asia"], databases={"MEDLINE": [], "Embase": []}, countries={"USA": "United States"}, short={"ado_10__17": "ado"},
+)
+
+
+@query("review_records", """WITH p AS (SELECT p_partkey, p_size AS s, p_partkey % 3 AS k, p_size % 40 + 12 AS old FROM part)
+SELECT p_partkey, '{"lit_search_date":"until May 2021","articles":{"articles_included":' || (s + 10) || ',"unique_studies":0},"studies":{"total":' || (s + 10)
+|| CASE k WHEN 0 THEN ',"rct":' || s || ',"cohort":4' ELSE ',"rct":0,"cohort":0' END || ',"case_control":0,"cross_sectional":0,"nrsi":0},'
+|| CASE k WHEN 0 THEN '"design_counts":{"rct":' || s || ',"cohort":4},'
+WHEN 1 THEN '"topics":{"kaa":1},"topics_terms":{"Awareness":"kaa"},"interventions":{"diseases":{"hpv":1}},"intervention_terms":{"HPV":"hpv"},"countries":{"study_counts":{"Kenya":' || (s + 3) || ',"Mali":2},"sample_sizes":{"China":1200}},'
+ELSE '"age_groups":{"ado_10__17":1,"range_10_' || old || '":1},"age_group_terms":{"Adolescents":"ado","10–' || old || ' years":"' || CASE WHEN (10 + old) // 2 <= 17 THEN 'ado' ELSE 'adu' END || '"},"specific_groups":{"hcw":1},"specific_group_terms":{"nurses":"hcw"},"regions":["Europe"],' END
+|| '"databases":{"num_databases":1,"database_list":["Embase"]}' || CASE WHEN k = 2 THEN ',"treatment":{"dosage":{"amounts":["5 mg"]},"comparator":["placebo"]}' ELSE '' END || '}' AS record,
+CASE k WHEN 0 THEN 'lit_search_date,studies,studies,studies,designs,designs,databases' WHEN 1 THEN 'lit_search_date,studies,countries,countries,countries,countries,topics,interventions,databases' ELSE 'lit_search_date,studies,ages,ages,ages,databases,treatment' END AS told,
+CASE k WHEN 0 THEN 0.28 WHEN 1 THEN 0.5 ELSE 0.56 END::DOUBLE AS confidence FROM p""")
+def _(t):
+    found = record.assemble(part(t, t=RECORD.replace("\n", " ")), WORDS, "p_partkey", "t")
+    return found.select("p_partkey", F.to_json("record").alias("record"), F.array_join(F.transform("evidence", lambda e: e["field"]), ",").alias("told"), "confidence")
+
+
 # streams
 @query("pages_fetched", "SELECT event_id // 500 + 1 AS page, count(*) AS n, min(event_id) AS first, max(event_id) AS last, count(DISTINCT event_id) AS different FROM events GROUP BY 1")
 def _(t):
