@@ -382,7 +382,11 @@ def _(t):
     return filters.sorted_options(filters.options(records(t), ["source", "year"], {"year": ["2099"]}))
 
 
-@query("discover_filters")
+@query("discover_filters", r"""WITH r AS (SELECT * FROM {records}), f AS (SELECT 'year' AS name, 'numeric' AS family, min(year)::VARCHAR AS low, max(year)::VARCHAR AS high, count(DISTINCT year) AS distinct_values FROM r
+UNION ALL SELECT 'amount', 'numeric', min(amount)::VARCHAR, max(amount)::VARCHAR, count(DISTINCT amount) FROM r
+UNION ALL SELECT 'source', 'text', NULL, NULL, count(DISTINCT source) FROM r UNION ALL SELECT 'database', 'text', NULL, NULL, count(DISTINCT database) FROM r UNION ALL SELECT 'journal', 'text', NULL, NULL, count(DISTINCT journal) FROM r
+UNION ALL SELECT 'country', 'text', NULL, NULL, count(DISTINCT country) FROM r UNION ALL SELECT 'region', 'text', NULL, NULL, count(DISTINCT region) FROM r)
+SELECT name AS column, family, upper(name[1]) || name[2:] AS display, low, high, distinct_values FROM f""")
 def _(t):
     return filters.discover(records(t))
 
@@ -446,7 +450,10 @@ def _(t):
     return ingest.unify({"Cochrane": first, "Medline": second})[0].select("source", "cleaned_doi", "id")
 
 
-@query("infer_types")
+@query("infer_types", r"""WITH u AS (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM orders) ON COLUMNS(*) INTO NAME name VALUE v)
+SELECT name, CASE WHEN bool_and(regexp_full_match(v, '[+-]?\d+') AND TRY_CAST(v AS INTEGER) IS NOT NULL) THEN 'int' WHEN bool_and(regexp_full_match(v, '[+-]?\d+') AND TRY_CAST(v AS BIGINT) IS NOT NULL) THEN 'bigint'
+WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS type, TRUE AS nullable,
+(list_position(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'], name) - 1)::INTEGER AS position FROM u GROUP BY name""")
 def _(t):
     texts = t.table("orders").select(*(F.col(c).cast("string").alias(c) for c in t.table("orders").columns))
     return column_info(ingest.clean_types(texts, ingest.infer_types(texts)))
@@ -647,7 +654,12 @@ def _(t):
     return spans.limit_shuffled(t.table("events"), ["event_type"], "event_id", 7, seed=1).select("event_id")
 
 
-@query("regex_spans")
+@query("regex_spans", r"""WITH parts AS (SELECT doc_id, 'EMAIL' AS label, regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+') AS ms, regexp_split_to_array(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+') AS gaps FROM documents
+UNION ALL SELECT doc_id, 'YEAR', regexp_extract_all(text, '\b(?:19|20)\d\d\b'), regexp_split_to_array(text, '\b(?:19|20)\d\d\b') FROM documents),
+x AS (SELECT doc_id, label, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM parts),
+s AS (SELECT doc_id, label, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, label ORDER BY i) AS stop FROM x)
+SELECT doc_id, (stop - length(m))::INTEGER AS start, stop::INTEGER AS "end", label FROM s
+WHERE label = 'EMAIL' OR NOT EXISTS (SELECT 1 FROM s AS o WHERE o.label = 'EMAIL' AND o.doc_id = s.doc_id AND s.stop - length(s.m) < o.stop AND o.stop - length(o.m) < s.stop)""")
 def _(t):
     found = spans.regex_spans(F.col("text"), {"EMAIL": r"[\w.+-]++@[\w-]+(?:\.[\w-]+)+", "YEAR": r"\b(?:19|20)\d\d\b"})
     return t.table("documents").select("doc_id", F.explode(spans.keep_longest(found)).alias("s")).select("doc_id", "s.*")
@@ -658,11 +670,17 @@ def _(t):
     return t.table("documents").select("doc_id", F.explode(spans.chunks(F.col("text"))).alias("c")).select("doc_id", "c.start", "c.end")
 
 
-@query("mined_examples")
+@query("mined_examples", r"""WITH cut AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)) || list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS parts FROM documents),
+rows AS (SELECT doc_id, parts, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM cut),
+u AS (SELECT doc_id, sentence, min(i) AS i, regexp_matches(sentence, '(?i)licen[cs]e') AS told FROM rows WHERE sentence <> '' GROUP BY doc_id, sentence),
+plain AS (SELECT doc_id, list(sentence ORDER BY i)[1:4] AS negatives FROM u WHERE NOT told GROUP BY doc_id),
+hits AS (SELECT sentence AS positive, coalesce(negatives, []) AS negatives FROM u LEFT JOIN plain USING (doc_id) WHERE told)
+SELECT 'license' AS slot, query, positive, min(negatives) AS negatives FROM hits, (VALUES ('which license applies'), ('license')) AS q(query) GROUP BY query, positive""")
 def _(t):
     return mining.mine(t.table("documents"), {"license": (r"(?i)licen[cs]e", ["which license applies", "license"])})
 
 
-@query("date_mentions")
+@query("date_mentions", r"""SELECT doc_id, list_max(list_filter(list_transform(regexp_extract_all(text, '(?i)\b(?:\d{1,2}(?:st|nd|rd|th)?\s+(?:January|February|March|April|May|June|July|August|September|October|November|December),?\s+\d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December),?\s+\d{4}|\d{4}-\d{2}-\d{2})\b'),
+lambda x: {'d': try_strptime(regexp_replace(regexp_replace(x, '(\d)(st|nd|rd|th)\b', '\1', 'g'), ',\s*', ' ', 'g'), ['%d %B %Y', '%B %d %Y', '%B %Y', '%Y-%m-%d'])::DATE, 'x': x}), lambda s: s.d IS NOT NULL)).x AS latest FROM documents""")
 def _(t):
     return t.table("documents").select("doc_id", dates.latest_of(dates.date_mentions(F.col("text"))).alias("latest"))
