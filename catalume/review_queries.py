@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import dates, text
-from .operators import facts, included, phrases, record, tagging
+from .operators import facts, included, ingest, phrases, record, tagging
 from .queries import query
+from .sources import files
 from .streaming import attempts, pages
 from .text_queries import one, part
 
@@ -97,6 +98,41 @@ def _(t):
     return found.select("p_partkey", F.to_json("record").alias("record"), F.array_join(F.transform("evidence", lambda e: e["field"]), ",").alias("told"), "confidence")
 
 
+# files: rows are written and read again, names are made from the tables
+@query("csv_round_trip", "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, length(text)::VARCHAR AS size, lang, source FROM documents")
+def _(t):
+    """Texts with quotes, commas, line breaks and spaces at their ends come back as they were."""
+    place = scratch(t, "csv")
+    files.export(t.table("documents").select("doc_id", "text", "lang", "source"), place)
+    return ingest.read_csv(t.spark, place).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("string").alias("size"), "lang", "source")
+
+
+@query("jsonl_resume", "SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0")
+def _(t):
+    place = scratch(t, "jsonl")
+    docs = t.table("documents").select("doc_id", "lang")
+    files.export(docs.where("doc_id % 3 = 0"), place, "json")
+    return files.not_done(docs, files.read_jsonl(t.spark, place, "doc_id long, lang string"))
+
+
+@query("newest_named_file", "SELECT '/in/unified_' || strftime(max(o_orderdate) FILTER (o_orderkey % 5 <> 0), '%Y-%m-%d') || '.csv' AS path FROM orders")
+def _(t):
+    """Names with another beginning, or with a day that is none, don't count."""
+    name = "CASE o_orderkey % 5 WHEN 0 THEN '/in/other_' ELSE '/in/unified_' END || CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 THEN '2099-13-40' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END || '.csv'"
+    return files.latest_file(t.table("orders").selectExpr(f"{name} AS path"), "unified_", ".csv")
+
+
+@query("resume_page", "SELECT max(page_id)::INTEGER AS page FROM pages WHERE page_id % 7 <> 0")
+def _(t):
+    return files.resume_page(t.table("pages").selectExpr("'/in/love_' || page_id || CASE WHEN page_id % 7 = 0 THEN '.json' ELSE '.csv' END AS path"))
+
+
+@query("retrieval_rows", "SELECT trim(p_brand) AS query, p_name AS positive, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS negatives FROM part WHERE p_partkey % 4 <> 0")
+def _(t):
+    rows = part(t, query="' ' || p_brand || ' '", positive="CASE WHEN p_partkey % 4 = 0 THEN '  ' ELSE p_name || ' ' END", negatives="CASE WHEN p_size % 2 = 0 THEN array('  ', ' ' || p_type) END")
+    return files.retrieval_rows(rows).select("query", "positive", F.array_join("negatives", "|").alias("negatives"))
+
+
 # streams
 @query("pages_fetched", "SELECT event_id // 500 + 1 AS page, count(*) AS n, min(event_id) AS first, max(event_id) AS last, count(DISTINCT event_id) AS different FROM events GROUP BY 1")
 def _(t):

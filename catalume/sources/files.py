@@ -61,11 +61,11 @@ def xml_json(xml: Column, schema: str) -> Column:
 
 
 def export(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """All rows as CSV, JSON lines or Parquet. An empty table is an error, as in the catalogue's downloads."""
+    """All rows as CSV, JSON lines or Parquet. An empty table is an error, as in the catalogue's downloads. CSV doubles quotes and keeps spaces, as `ingest.read_csv` reads it."""
     if df.isEmpty():
         raise LookupError("nothing to export")
     writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)
+    writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if kind == "csv" else writer.format(kind).save(path)
 
 
 def flatten(df: DataFrame, separator: str = "_", depth: int = 2) -> DataFrame:
