@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_spread, materialize
+from .common import SENT_ROWS, discard, join_spread, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: links each larger neighbour of a node to the smallest of the node and its neighbours. Small star: the same for the node and its smaller neighbours."""
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """Large star: links each larger neighbour of a node to the smallest of the node and its neighbours. Small star: the same for the node and its smaller neighbours. Of ``few`` edges, the smallest ones are sent to all tasks."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
-    told = lambda rows: join_spread(rows, least, "u", F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))  # noqa: E731  a hub's rows go to many tasks
+    joined = lambda rows: rows.join(F.broadcast(least), "u") if few else join_spread(rows, least, "u", F.xxhash64("v"))  # noqa: E731  a hub's rows go to many tasks
+    told = lambda rows: joined(rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     if large:
         linked = told(both.where("v > u"))
@@ -31,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while True:
-        old, edges = edges, materialize(_star(_star(edges, large=True), large=False), "links")
+        few = before[0] <= SENT_ROWS // 4
+        old, edges = edges, materialize(_star(_star(edges, True, few), False, few), "links")
         discard(old)
         after = mark(edges)
         if after == before:

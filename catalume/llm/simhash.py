@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_spread, let, materialize, pack, small_batches
+from .common import discard, join_spread, join_told, let, materialize, pack, small_batches
 from .graph import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -28,7 +28,7 @@ BLOCK = 1 << 15
 COPY_SHINGLE, COPY_SIMILARITY = 5, 80
 #: Their candidates: tables, minima that a table joins (a pair of 0.8 meets in one of 16 tables with a chance of 1 - 2e-5), shingles minimised at once.
 TABLES, MINIMA, MIN_BLOCK = 16, 3, 1 << 10
-#: Texts of a bucket of which all pairs are compared; in a larger one each is compared with the bucket's leader.
+#: Texts of a bucket of which all pairs are compared at once; in a larger one each is compared with the bucket's leader first.
 SMALL = 9
 
 
@@ -150,7 +150,7 @@ def print_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs u, v of the texts that meet in a bucket of up to SMALL of ``rows`` (text_key, table, bucket), and stars of larger ones: text_key, table and the bucket's leader.
+    """Pairs u, v of the texts that meet in a bucket of up to SMALL of ``rows`` (text_key, bucket), and stars of larger ones: text_key, bucket and the bucket's leader, each of its texts once.
 
     The leader is the text whose buckets are the fullest over all tables: in a group of texts that were made from one by
     small changes that is the one that lies in their midst.
@@ -164,18 +164,56 @@ def bucket_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = met.where(F.col("n") > SMALL)
     fullest = F.max(F.struct("score", "text_key"))["text_key"].alias("leader")
     midst = materialize(large.join(large.groupBy("text_key").agg(F.sum("n").alias("score")), "text_key").groupBy("bucket").agg(fullest), "leaders")
-    stars = materialize(large.join(midst, "bucket").where("text_key <> leader").select("text_key", "table", "leader"), "stars")
+    stars = materialize(join_told(large, midst, "bucket", F.xxhash64("text_key")).select("text_key", "bucket", "leader"), "stars")
     discard(sizes, met, midst)
     return small, stars
 
 
-def with_sets(sets: DataFrame | None, pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``sets`` (text_key, set) and the shingle sets of the other texts of ``pairs``. ``nodes`` (text_key, name) names one row of each text among ``texts`` (text_key, name, text), so that copies stay where they are."""
+def apart_texts(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """text_key, root of all texts of those buckets of ``stars`` (text_key, bucket, leader) whose texts are not all in one group of ``found`` (node, root)."""
+    root = lambda name: found.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    told = join_told(stars.join(root("text_key"), "text_key", "left"), root("leader"), "leader", F.xxhash64("text_key"), "left")
+    own = F.coalesce("root_text_key", "text_key")
+    rooted = materialize(told.select("text_key", "bucket", own.alias("root"), (own != F.coalesce("root_leader", "leader")).alias("apart")), "rooted")
+    mixed = materialize(rooted.where("apart").select("bucket").distinct(), "mixed")
+    out = materialize(join_told(rooted, mixed, "bucket", F.xxhash64("text_key")).select("text_key", "root").distinct(), "apart")
+    discard(rooted, mixed)
+    return out
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs u, v that hold all pairs of different roots with a Jaccard similarity of COPY_SIMILARITY hundredths or more, of ``rows`` (text_key, root, set).
+
+    An exact join by prefixes and positions. Shingles are put into one order: first those that stand in one root's texts
+    only, which join nothing, then the others, the rarest first. The first shingle that two such sets share has so few
+    before it that the rest can still hold as many as the pair must share: only rows of such places meet.
+    """
+    n, hundredths = F.size("set").cast("long"), COPY_SIMILARITY
+    each = rows.select("text_key", "root", n.alias("n"), F.explode("set").alias("shingle"))
+    spans = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    spans = materialize(spans.select("shingle", "times"), "shingles")
+    held = join_told(each, spans, "shingle", F.xxhash64("text_key"))
+    ordered = held.groupBy("text_key", "root", "n").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("xs"))
+    place = ordered.select("text_key", "root", "n", (F.col("n") - F.size("xs")).alias("alone"), F.posexplode("xs").alias("i", "x"))
+    # left: how many shingles the set holds from this one on
+    place = place.select("text_key", "root", "n", F.col("x.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("i")).alias("left"))
+    place = materialize(place.where(100 * F.col("left") >= hundredths * F.col("n")), "places")
+    # the rows of a shingle's commonest root meet those of its other roots only
+    counts = place.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("times"))
+    most = counts.groupBy("shingle").agg(F.max(F.struct("times", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    most = materialize(most.select("shingle", "most"), "commonest")
+    place = materialize(join_told(place, most, "shingle", F.xxhash64("text_key")), "places")
+    side = lambda name, df: df.select("shingle", *(F.col(c).alias(f"{c}_{name}") for c in ("text_key", "root", "n", "left")))
+    enough = (100 + hundredths) * F.least("left_u", "left_v") >= hundredths * (F.col("n_u") + F.col("n_v"))
+    met = side("u", place.where("root <> most")).join(side("v", place), "shingle").where((F.col("root_u") != F.col("root_v")) & enough)
+    return met.select(F.greatest("text_key_u", "text_key_v").alias("u"), F.least("text_key_u", "text_key_v").alias("v")).distinct()
+
+
+def shingle_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_key and shingle set of the texts of ``pairs``. ``nodes`` (text_key, name) names one row of each text among ``texts`` (text_key, name, text), so that copies stay where they are."""
     used = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
-    used = used if sets is None else used.join(sets, "text_key", "left_anti")
     once = texts.join(nodes.join(used, "text_key", "left_semi").select("text_key", "name"), ["text_key", "name"], "left_semi").dropDuplicates(["text_key"])
-    more = materialize(once.select("text_key", F.pandas_udf(_sets, "array<long>")("text").alias("set")), "sets")
-    return more if sets is None else sets.unionByName(more)
+    return materialize(once.select("text_key", F.pandas_udf(_sets, "array<long>")("text").alias("set")), "sets")
 
 
 def copy_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,35 +228,29 @@ def copy_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """text_key, root for the texts of ``nodes`` (text_key, name, fingerprint, buckets) that have a near copy; equal roots mean that links of COPY_SIMILARITY hundredths or more connect them.
 
     Candidates are the pairs that op6's links join and those that meet in a MinHash table. In buckets of more than SMALL
-    texts each is compared with the leader. Those that then stand in no group with their leader go on, in buckets of twice
-    as many tables joined, with other leaders, until all are with theirs or in small buckets; each round compares as many
-    pairs as it has rows. All pairs are checked on whole shingle sets.
+    texts each is first compared with the leader. Where a bucket's texts then stand in several groups, an exact join finds
+    all pairs of its texts that link two groups. All pairs are checked on whole shingle sets.
     """
-    rows = nodes.select("text_key", "buckets", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("table")).where(F.size("buckets") > 0)
-    sets = found = None
-    joined = 1
-    while True:
-        named = F.xxhash64("table", *(F.get("buckets", (F.col("table") + k) % TABLES) for k in range(joined)))
-        small, stars = bucket_pairs(rows.select("text_key", "table", named.alias("bucket")))
-        pairs = small.unionByName(stars.select(F.col("text_key").alias("u"), F.col("leader").alias("v")))
-        pairs = pairs.unionByName(print_pairs(nodes.select("text_key", "fingerprint"))) if found is None else pairs
-        pairs = materialize(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
-        sets = with_sets(sets, pairs, nodes, texts)
-        links = copy_links(pairs, sets)
-        old, found = found, components(links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        discard(small, pairs, *([old] if old is not None else []))
-        joined *= 2
-        if joined > TABLES:
-            break
-        root = lambda name: found.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-        apart = stars.join(root("text_key"), "text_key", "left").join(root("leader"), "leader", "left")
-        apart = apart.where(F.coalesce("root_text_key", "text_key") != F.coalesce("root_leader", "leader"))
-        rows = materialize(apart.select("text_key", "table").join(nodes.select("text_key", "buckets"), "text_key"), "apart")
-        discard(stars)
-        if rows.isEmpty():
-            break
-    discard(sets)
-    return found.select(F.col("node").alias("text_key"), "root")
+    rows = nodes.select("text_key", F.posexplode("buckets").alias("table", "bucket")).select("text_key", F.xxhash64("table", "bucket").alias("bucket"))
+    small, stars = bucket_pairs(rows)
+    pairs = small.unionByName(stars.select(F.col("text_key").alias("u"), F.col("leader").alias("v")))
+    pairs = pairs.unionByName(print_pairs(nodes.select("text_key", "fingerprint")))
+    pairs = materialize(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    sets = shingle_sets(pairs, nodes, texts)
+    found = components(copy_links(pairs, sets))
+    apart = apart_texts(stars, found)
+    discard(small, pairs, stars)
+    found = found.select(F.col("node").alias("text_key"), "root")
+    if not apart.isEmpty():
+        more = materialize(copy_links(prefix_pairs(apart.join(sets, "text_key")), sets), "more")
+        root = lambda name: apart.select(F.col("text_key").alias(name), F.col("root").alias(f"root_{name}"))
+        links = more.join(root("u"), "u").join(root("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+        joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        led = join_told(found, joined, "root", F.xxhash64("text_key"), "left").select("text_key", F.coalesce("top", "root").alias("root"))
+        found = led.unionByName(joined.select(F.col("root").alias("text_key"), F.col("top").alias("root")))
+        discard(more)
+    discard(apart, sets)
+    return found
 
 
 def text_names(docs: DataFrame) -> tuple[Column, Column]:

@@ -1,6 +1,7 @@
 """The pipeline's near-copy stage against brute force, and on ids that are null or repeat."""
 
 import random
+from decimal import Decimal
 
 import corpus_pipeline
 from catalume.llm import simhash
@@ -87,3 +88,36 @@ def test_stage_on_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
     found = {(r["doc_id"], r["text"]) for r in simhash.drop_copies(df).collect()}
     assert found == {(7, SOUP), (7, BIRD), (None, "one two"), (None, "three four"), (8, None)}
+
+
+def test_full_bucket(spark):
+    """A bucket of 12 texts: two are alike without the leader, one is alike to a text of the leader's group only."""
+    draw = random.Random(3)
+    words = lambda n: [f"w{draw.randrange(1_000_000)}" for _ in range(n)]
+    texts = [words(120) for _ in range(12)]
+    texts[7] = texts[3][:110] + words(10)
+    texts[5] = texts[11][:108] + words(12)
+    texts[9] = words(12) + texts[5][12:]
+    texts = [" ".join(t) for t in texts]
+    wanted = groups(texts)
+    assert [i for i, r in enumerate(wanted) if r != i] == [7, 9, 11] and wanted[9] == wanted[11] == 5
+    nodes = [(Decimal(i), "", draw.getrandbits(62), [1, *(draw.getrandbits(62) for _ in range(15))]) for i in range(12)]
+    nodes = spark.createDataFrame(nodes, "text_key decimal(38,0), name string, fingerprint long, buckets array<long>")
+    rows = spark.createDataFrame([(Decimal(i), "", t) for i, t in enumerate(texts)], "text_key decimal(38,0), name string, text string")
+    found = {int(r["text_key"]): int(r["root"]) for r in simhash.copy_roots(nodes, rows).collect()}
+    assert {i: found.get(i, i) for i in range(12)} == dict(enumerate(wanted))
+
+
+def test_prefix_pairs(spark):
+    """The exact join of sets finds every pair of four fifths or more whose roots differ, as brute force does."""
+    draw = random.Random(4)
+    sets = []
+    for _ in range(60):
+        base = draw.sample(range(400), draw.choice([1, 5, 20, 90]))
+        for _ in range(4):
+            kept = draw.sample(base, max(1, len(base) - draw.randrange(1 + len(base) // 6)))
+            sets.append(({*kept} | {*draw.sample(range(400), draw.randrange(1 + len(base) // 8))}, draw.randrange(4)))
+    alike = {(i, j) for i, (a, r) in enumerate(sets) for j, (b, q) in enumerate(sets[:i]) if r != q and 5 * len(a & b) >= 4 * len(a | b)}
+    df = spark.createDataFrame([(i, r, sorted(s)) for i, (s, r) in enumerate(sets)], "text_key long, root long, set array<long>")
+    found = {(r["u"], r["v"]) for r in simhash.prefix_pairs(df).collect()}
+    assert len(alike) > 50 and alike <= found and len(found) < 5 * len(alike)
