@@ -1,6 +1,8 @@
 """The pipeline's stages against plain Python, each on what the one before kept."""
 
+import time
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -59,3 +61,15 @@ def test_odd_rows(spark, odd, odd_rows, tmp_path):
             texts = [r["text"] for r in now.collect()]
             assert len(texts) == len(set(texts)) and any(len(t) > 60_000 for t in texts)
     assert now.count() > 0 and now.where("NOT round_trip").count() == 0
+
+
+def test_no_shuffle_files_stay(spark, docs, tmp_path):
+    """What a stage has shuffled is gone soon after its rows are written, though the driver's JVM has collected no garbage."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    left = lambda: {str(f) for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+    before = left()
+    corpus_pipeline.mix_sources(spark, docs, FOLDER).write.parquet(f"{tmp_path}/mixed")
+    until = time.monotonic() + 10
+    while left() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left() - before
