@@ -175,8 +175,15 @@ def _codec_udfs(spark: SparkSession, vocabulary: str):
         for s in packed:
             yield pd.Series([None if b is None else codec.decode(b) for b in s])
 
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(tables.value)
+        for s in texts:
+            packed = [codec.encode(t or "") for t in s]
+            yield pd.DataFrame({"ids": packed, "decoded": [codec.decode(b) for b in packed]})
+
     # not deterministic: keeps the optimizer from encoding a text once for each use of its ids
-    return F.pandas_udf(encode, T.BinaryType()).asNondeterministic(), F.pandas_udf(decode, T.StringType()).asNondeterministic()
+    made = ((encode, T.BinaryType()), (decode, T.StringType()), (both, "ids binary, decoded string"))
+    return [F.pandas_udf(f, kind).asNondeterministic() for f, kind in made]
 
 
 def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -185,23 +192,30 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", ids: st
     A null or empty text has no ids (an empty value, not null). Special tokens' strings become their ids. Rows are encoded
     where they are read, without a shuffle; repeated rows give equal ids. Other columns stay; one named as ``ids`` is replaced.
     """
-    encode, _ = _codec_udfs(df.sparkSession, vocabulary)
+    encode, _, _ = _codec_udfs(df.sparkSession, vocabulary)
     return df.withColumn(ids, encode(F.col(f"`{text}`")))
 
 
 def decode_documents(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the texts of its token ids in ``decoded``, special tokens included. Null ids give null; none give an empty text. An id that the vocabulary lacks is an error."""
-    _, decode = _codec_udfs(df.sparkSession, vocabulary)
+    _, decode, _ = _codec_udfs(df.sparkSession, vocabulary)
     return df.withColumn(decoded, decode(F.col(f"`{ids}`")))
 
 
+def code_documents(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with its texts' token ids and what these decode to: `encode_documents` and then `decode_documents` in one Python process a task, with one vocabulary and one queue of waiting rows, where the two in turn take two of each."""
+    *_, both = _codec_udfs(df.sparkSession, vocabulary)
+    coded = df.withColumn(ids, both(F.col(f"`{text}`")))
+    return coded.withColumns({decoded: F.col(f"`{ids}`.decoded"), ids: F.col(f"`{ids}`.ids")})
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
 def op3_bpe(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    coded = code_documents(docs.select("doc_id", "text"), vocabulary)
     return coded.select(
         "doc_id",
         n_tokens(F.col("ids")).alias("n_tokens"),

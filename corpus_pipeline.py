@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and whether decoding gave the text back."""
-    coded = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), VOCABULARY), VOCABULARY)
+    coded = bpe.code_documents(docs.select("doc_id", "lang", "source", "text"), VOCABULARY)
     return coded.select("doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

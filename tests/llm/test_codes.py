@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import xxhash
 from catalume.llm import bpe, langid, media, mixing, pii, quality, sharding, simhash, warc
@@ -41,6 +42,16 @@ def test_fragments_keep_the_encoding():
         assert [x for f in codec.fragments(raw) for x in codec.merge(f)] == codec.merge(raw)
 
 
+def test_bpe_in_one_process(spark, docs, odd):
+    """Encoding and decoding take one Python process a task, and give what the two operators give in turn, beside columns of their names."""
+    for coded in (bpe.op3_bpe(spark, docs, VOCABULARY), corpus_pipeline.encode_tokens(spark, docs, FOLDER)):
+        assert coded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    clash = odd.withColumn("ids", F.lit("mine")).withColumn("decoded", F.lit(None).cast("long"))
+    one = bpe.code_documents(clash, VOCABULARY)
+    two = bpe.decode_documents(bpe.encode_documents(clash, VOCABULARY), VOCABULARY)
+    assert one.columns == two.columns and table(one) == table(two)
+
+
 def print_of(text):
     words = bytes(text or "", "utf-8").lower().split()
     if not words:
