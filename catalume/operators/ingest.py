@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +25,8 @@ UNKNOWN_REGION = "Unknown"
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV files as texts, quoted line breaks and all; a row's place is not kept."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    """CSV files as texts, quoted line breaks and all; a row's place is not kept. A blank cell is null, a quoted one without characters an empty text: the reader makes null of any text that equals its word for null, so that this is one that no file has."""
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, nullValue=uuid.uuid4().hex, emptyValue="")
 
 
 def read_with_order(spark: SparkSession, path: str) -> DataFrame:
