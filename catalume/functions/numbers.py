@@ -47,7 +47,7 @@ def to_int(c: Column) -> Column:
 
 
 def int_to_words(c: Column) -> Column:
-    """English words of a whole number from 0 to 999,999."""
+    """English words of a whole number from 0 to 999,999,999; null for others."""
     units, tens = F.array(*map(F.lit, UNITS)), F.array(*map(F.lit, TENS))
 
     def below_hundred(n: Column) -> Column:
@@ -59,9 +59,10 @@ def int_to_words(c: Column) -> Column:
         hundred, rest = (n / 100).cast("int"), n % 100
         return F.concat_ws(" ", F.when(hundred > 0, F.concat(F.get(units, hundred), F.lit(" hundred"))), F.when((rest > 0) | (hundred == 0), below_hundred(rest)))
 
-    thousand, rest = (c / 1000).cast("int"), (c % 1000).cast("int")
-    words = F.concat_ws(" ", F.when(thousand > 0, F.concat(below_thousand(thousand), F.lit(" thousand"))), F.when((rest > 0) | (thousand == 0), below_thousand(rest)))
-    return F.when(c.between(0, 999_999), words)
+    million, thousand, rest = (c / 1_000_000).cast("int"), (c / 1000).cast("int") % 1000, (c % 1000).cast("int")
+    scaled = lambda n, name: F.when(n > 0, F.concat(below_thousand(n), F.lit(f" {name}")))
+    words = F.concat_ws(" ", scaled(million, "million"), scaled(thousand, "thousand"), F.when((rest > 0) | (c == 0), below_thousand(rest)))
+    return F.when(c.between(0, 999_999_999), words)
 
 
 def year_of(c: Column) -> Column:
